@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import quality_rules
+from glyphsieve.llm import line_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": quality_rules.query}
+    return {"op4_line_dedup": line_dedup.query, "op7_quality_rules": quality_rules.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.oracle()}
+    return {"op4_line_dedup": line_dedup.oracle(), "op7_quality_rules": quality_rules.oracle()}

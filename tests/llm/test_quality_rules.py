@@ -20,7 +20,7 @@ CASES = [
     (4, "Home | News | Sport | Weather | Travel | Culture."),
     (5, PROSE + "\nAll rights reserved."),
     (6, "Der Der Der Der Der Der Der Der Der Der."),
-    (7, PROSE + "\nRead more\n\n" + PROSE + "\nIt."),
+    (7, PROSE + "\nRead more\n\nIt."),
     (8, None),
     (9, ""),
     (10, "  \n \n"),
