@@ -28,9 +28,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         n = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            _powers = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, _BASE, np.uint64)]).astype(np.uint64))
-            _inverses = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, _INVERSE, np.uint64)]).astype(np.uint64))
+        factors = np.full(n, _BASE, np.uint64)
+        factors[0] = 1
+        _powers = np.multiply.accumulate(factors)
+        factors[1:] = _INVERSE
+        _inverses = np.multiply.accumulate(factors)
     return _powers, _inverses
 
 
