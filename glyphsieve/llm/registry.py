@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import line_dedup, quality_rules
+from glyphsieve.llm import line_dedup, minhash_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": line_dedup.query, "op7_quality_rules": quality_rules.query}
+    return {"op4_line_dedup": line_dedup.query, "op6_minhash_dedup": minhash_dedup.query, "op7_quality_rules": quality_rules.query}
 
 
 def oracle_sql() -> dict[str, str]:
