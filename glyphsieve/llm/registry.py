@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import line_dedup, minhash_dedup, quality_rules
+from glyphsieve.llm import decontaminate, line_dedup, minhash_dedup, quality_rules
+
+OPERATORS = {
+    "op1_decontaminate": decontaminate,
+    "op4_line_dedup": line_dedup,
+    "op6_minhash_dedup": minhash_dedup,
+    "op7_quality_rules": quality_rules,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": line_dedup.query, "op6_minhash_dedup": minhash_dedup.query, "op7_quality_rules": quality_rules.query}
+    return {name: module.query for name, module in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.oracle(), "op7_quality_rules": quality_rules.oracle()}
+    return {name: module.oracle() for name, module in OPERATORS.items() if hasattr(module, "oracle")}
