@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import decontaminate, line_dedup, minhash_dedup, quality_rules
+from glyphsieve.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
+    "op3_bpe": bpe,
     "op4_line_dedup": line_dedup,
     "op6_minhash_dedup": minhash_dedup,
     "op7_quality_rules": quality_rules,
