@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
+from glyphsieve.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, token_counts
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
@@ -14,6 +14,7 @@ OPERATORS = {
     "op4_line_dedup": line_dedup,
     "op6_minhash_dedup": minhash_dedup,
     "op7_quality_rules": quality_rules,
+    "op10_token_counts": token_counts,
 }
 
 
