@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, token_counts
+from glyphsieve.llm import arc, bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, token_counts
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
     "op3_bpe": bpe,
     "op4_line_dedup": line_dedup,
+    "op5_arc_to_warc": arc,
     "op6_minhash_dedup": minhash_dedup,
     "op7_quality_rules": quality_rules,
     "op10_token_counts": token_counts,
