@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import arc, bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, token_counts, url_rules
+from glyphsieve.llm import arc, bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, secrets, token_counts, url_rules
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
+    "op2_secret_scan": secrets,
     "op3_bpe": bpe,
     "op4_line_dedup": line_dedup,
     "op5_arc_to_warc": arc,

@@ -1,0 +1,75 @@
+import re
+
+import pytest
+from pyspark.ml.feature import VectorAssembler
+
+from glyphsieve.llm import secrets as S
+
+SCHEMA = "doc_id long, text string, source string"
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+PROSE = "the reading of the thing and another nation there is the reading of a thing " * 6
+
+
+def test_candidates_equal_brute_force(spark):
+    texts = ["", None, KEY, f"x {KEY}", f"{KEY} y {KEY}\n{'z' * 40} camelCaseWordHere", "short123", f"é💩 {KEY}é{KEY}", ("word " * 9000) + KEY + (" 1234567890123456" * 3), "token = \"" + KEY + "\"", KEY * 2000, "a.b.c.d " * 5]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+    got = sorted((r.doc_id, r.start, r.candidate, r.before) for r in S.candidates(df).collect())
+    expected = []
+    for i, t in enumerate(texts):
+        ends = [0, 0]
+        for m in re.finditer(S.CANDIDATE, t or ""):
+            if re.search("[0-9]|[a-z][A-Z]", m.group()):
+                expected.append((i, m.start(), m.group(), t[max(ends[-2], m.start() - S.CONTEXT) : m.start()]))
+            ends.append(m.end())
+    assert got == sorted(expected) and len(got) > 10
+
+
+def test_held_out_accuracy(spark):
+    words = S.dictionary(spark.createDataFrame([(1, PROSE * 20, "s")], SCHEMA))
+    model = S.transitions(words)
+    found = S.labelled_findings(spark, 3000, seed=5)
+    forest = S.train(found, words, model)
+    other = S.features(S.labelled_findings(spark, 1500, seed=99), words, model)
+    scored = forest.transform(VectorAssembler(inputCols=S.FEATURES, outputCol="features").transform(other))
+    wrong = {(r.label, r.prediction): r.n for r in scored.groupBy("label", "prediction").agg({"*": "count"}).toDF("label", "prediction", "n").collect()}
+    right = wrong.get((1, 1.0), 0) + wrong.get((0, 0.0), 0)
+    assert right >= 0.97 * 1500 and wrong.get((1, 0.0), 0) <= 0.05 * 750
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    rows = [
+        (1, PROSE + f'api_key = "{KEY}" ' + PROSE, "src1"),
+        (2, PROSE + "card 4785380592391139 and tel. 555-1234-5678, mail reader.17@mail5.example.com from 193.195.198.107", "src1"),
+        (3, PROSE, "src2"), (4, None, None), (5, "", "x"), (6, None, "x"), (7, f"commit {KEY}", "src1"),
+        (1, PROSE + f'api_key = "{KEY}" ' + PROSE, "src1"), (None, f"password: '{KEY}'", None),
+        (8, PROSE * 200 + f"client_secret='{KEY[::-1]}'", "src3"), (9, PROSE + f"export TOKEN={KEY}", "app/.env"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS candidate", "2 AS features", "3 AS word", "4 AS probability")
+    return rows, df, S.scan(df).collect()
+
+
+def test_secrets_stay_and_false_positives_go(scanned):
+    rows, _, got = scanned
+    assert sorted((r.doc_id or 0, r.start, r.n_chars) for r in got) == sorted((i or 0, t.index(k), 40) for i, t, _ in rows for k in (KEY, KEY[::-1]) if t and k in t and not t.startswith("commit") and i != 9) + [(9, len(PROSE) + 7, 46)]
+    assert all(S.THRESHOLD <= r.score <= 1 for r in got)
+
+
+def test_empty_tables_and_no_path(spark, scanned):
+    _, df, got = scanned
+    assert S.scan(df.where("false")).count() == 0
+    assert {r.doc_id for r in S.scan(df.drop("source")).collect()} == {r.doc_id for r in got}
+
+
+def test_own_findings_are_learned(spark):
+    rows = [(f"ID{k:014d}", "record ", " of it", None, 1) for k in range(60)] + [(f"{k:040x}", "token = ", "", None, 0) for k in range(60)]
+    findings = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int")
+    df = spark.createDataFrame([(1, "record ID00000000001234 of it", "s"), (2, f"token = {KEY}", "s")], SCHEMA)
+    assert [r.doc_id for r in S.scan(df, findings).collect()] == [1]
+
+
+def test_dictionary_counts_all_words(spark):
+    df = spark.createDataFrame([(1, "One two. ONE", ""), (2, "one Two; three", ""), (3, None, ""), (4, "", "")], SCHEMA)
+    assert {r.word: r.n for r in S.dictionary(df, 2).collect()} == {"one": 3, "two": 2}
+    model = S.transitions(S.dictionary(df, 1))
+    assert model["on"] > model["oz"] and len(model) == 28 * 28
