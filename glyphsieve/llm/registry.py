@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import arc, bpe, decontaminate, line_dedup, minhash_dedup, quality_rules, secrets, token_counts, url_rules
+from glyphsieve.llm import arc, bpe, decontaminate, line_dedup, minhash_dedup, pii, quality_rules, secrets, token_counts, url_rules
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
@@ -17,6 +17,7 @@ OPERATORS = {
     "op6_minhash_dedup": minhash_dedup,
     "op7_quality_rules": quality_rules,
     "op8_url_rules": url_rules,
+    "op9_sanitise": pii,
     "op10_token_counts": token_counts,
 }
 
