@@ -26,10 +26,10 @@ TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 #: How text is split into words before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SLICE = 4 << 20
-#: A worker forgets its words beyond so many; they are computed again when met again.
-_WORDS_KEPT = 1 << 20
-_PAIRS_KEPT = 1 << 21
+_SLICE = 1 << 20
+#: Beyond so many words, a worker forgets those that it met but once; they are computed again when met again.
+_WORDS_KEPT = 1 << 18
+_PAIRS_KEPT = 1 << 19
 _NEVER = 1 << 40
 
 
@@ -196,12 +196,23 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.uses, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def trim(self) -> None:
+        """Forgets the words that were met once since the last time, and the rarer ones of the rest beyond half of _WORDS_KEPT."""
+        n = len(self.index)
+        sizes = self.sizes[:n].astype(np.int64)
+        kept = np.flatnonzero(self.uses[:n] > 1)
+        if len(kept) > _WORDS_KEPT // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: _WORDS_KEPT // 2]])
+        ids = self.ids[ragged((np.cumsum(sizes) - sizes)[kept], sizes[kept])]
+        words = list(self.index)
+        self.index = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.sizes[: len(kept)], self.uses[: len(kept)], self.used = self.sizes[kept], 1, len(ids)
+        self.ids[: len(ids)] = ids
+        self.uses[len(kept) :] = 0
 
     def _learn(self, new: set[str]) -> None:
         pairs = sorted((w.encode(), w) for w in new)
@@ -210,6 +221,7 @@ class Encoder:
         n, total = len(self.index), int(sizes.sum())
         while n + len(pairs) > len(self.sizes):
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.sizes[n : n + len(pairs)] = sizes
@@ -224,10 +236,11 @@ class Encoder:
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
         if len(self.index) > _WORDS_KEPT:
-            self.forget()
+            self.trim()
         if new := set(flat).difference(self.index):
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         begins = np.cumsum(self.sizes[: len(self.index)], dtype=np.int64) - self.sizes[: len(self.index)]
         sizes = self.sizes[at].astype(np.int64)
         ids = self.ids[ragged(begins[at], sizes)]

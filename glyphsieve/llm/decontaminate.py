@@ -22,7 +22,7 @@ from glyphsieve.llm.fm_index import FMIndex
 #: Words of a phrase: every run of so many of an item. An item of fewer words is one phrase; of fewer than MIN_WORDS, too common to tell from clean prose.
 PHRASE_WORDS = 8
 MIN_WORDS = 5
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text whose phrases travel to the tasks at once. A larger benchmark is searched in as many passes as it has such parts.
 BENCHMARK_BYTES = 16 << 20
 

@@ -25,8 +25,9 @@ SPACE = "▁"
 #: What an unknown character costs beside the worst piece.
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _USER = 1, 4
-_SLICE = 4 << 20
-_WORDS_KEPT = 1 << 20
+_SLICE = 1 << 20
+#: Words known to a worker, and as many that it knew before.
+_WORDS_KEPT = 1 << 18
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -86,6 +87,7 @@ class Counter(dict):
 
     def __init__(self, pieces: list[tuple[str, float]], fallback: bool):
         super().__init__()
+        self.older: dict[str, int] = {}  # what was met before the words here; those met again move
         self.fallback = fallback
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.singles = {p for p, _ in pieces if len(p) == 1}
@@ -129,8 +131,12 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        n = self[word] = self.solve(word)[1]
+        n = self.older.pop(word, None)
+        if n is None:
+            n = self.solve(word)[1]
+        self[word] = n
         return n
 
     def count(self, text: str) -> int:
