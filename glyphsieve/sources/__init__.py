@@ -1 +1 @@
-"""Readers, writers and load limits."""
+"""Sources and sinks: text, FASTA and delimited files, pattern files, limits, results."""
