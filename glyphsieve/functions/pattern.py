@@ -42,13 +42,12 @@ class Pattern:
         return [t for t in self.tokens if isinstance(t, str)]
 
     def matches(self, c: Column) -> Column:
-        """Whether the text in c matches. Null counts as the empty text."""
-        c = F.coalesce(c, F.lit(""))
+        """Whether the text in c matches. Null counts as the empty text; where that doesn't match, the answer for null is null, so that the plain strategies reach the scan."""
         lits = self.literals
         if self.strategy == "all":
             return F.lit(True)
         if self.strategy == "exact":
-            return c == F.lit(lits[0] if lits else "")
+            return c == F.lit(lits[0]) if lits else F.coalesce(c, F.lit("")) == F.lit("")
         if self.strategy == "prefix":
             return c.startswith(lits[0])
         if self.strategy == "suffix":

@@ -15,8 +15,8 @@ AT_ONCE = 48
 
 
 def as_corpus(rows: DataFrame, table: str, row_id: Column, text_column: str) -> DataFrame:
-    """A text column as a table of a corpus; null counts as the empty text."""
-    return rows.select(F.lit(table).alias("table"), row_id.cast("long").alias("row_id"), F.coalesce(F.col(text_column), F.lit("")).alias("data"))
+    """A text column as a table of a corpus. Nulls stay, so that filters reach the scan; searches and statistics take them as empty texts."""
+    return rows.select(F.lit(table).alias("table"), row_id.cast("long").alias("row_id"), F.col(text_column).alias("data"))
 
 
 def unpivot(rows: DataFrame, name: str, row_id: Column, columns: list[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def hits_by_pattern_table(tables: list[tuple[str, DataFrame, str]], patterns: li
         for k in range(0, len(patterns), AT_ONCE):
             part = list(enumerate(patterns))[k : k + AT_ONCE]
             compiled = [(i, p, compile_like(p, underscore)) for i, p in part]
-            sums = [F.coalesce(F.sum(c.matches(F.col(column)).cast("long")), F.lit(0)).alias(f"h{i}_{t}") for i, _, c in compiled for t, (_, column) in enumerate(columns)]
+            sums = [F.count_if(c.matches(F.col(column))).alias(f"h{i}_{t}") for i, _, c in compiled for t, (_, column) in enumerate(columns)]
             cells = [F.struct(F.lit(i).alias("pattern_index"), F.lit(p).alias("pattern"), F.lit(name).alias("table"), F.col(f"h{i}_{t}").alias("hits")) for i, p, _ in compiled for t, (name, _) in enumerate(columns)]
             out.append(rows.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
     return reduce(DataFrame.unionByName, out)
@@ -61,7 +61,7 @@ def hits_by_pattern_table(tables: list[tuple[str, DataFrame, str]], patterns: li
 
 def table_stats(corpus: DataFrame) -> DataFrame:
     """(table, rows, avg_len, max_len), lengths in bytes."""
-    n = F.octet_length("data")
+    n = F.coalesce(F.octet_length("data"), F.lit(0))
     return corpus.groupBy("table").agg(F.count("*").alias("rows"), (F.coalesce(F.sum(n), F.lit(0)) / F.count("*")).alias("avg_len"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_len"))
 
 

@@ -117,13 +117,13 @@ def limit_rows(corpus: DataFrame, n: int) -> DataFrame:
 def limit_bytes(corpus: DataFrame, budget: int) -> DataFrame:
     """Rows of each table in order, up to the first that goes beyond the budget."""
     w = Window.partitionBy("table").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return corpus.withColumn("_b", F.sum(F.octet_length("data")).over(w)).where(F.col("_b") <= budget).drop("_b")
+    return corpus.withColumn("_b", F.sum(F.coalesce(F.octet_length("data"), F.lit(0))).over(w)).where(F.col("_b") <= budget).drop("_b")
 
 
 def subset_bytes(corpus: DataFrame, target: int) -> DataFrame:
     """Whole rows of each table in order up to the target; the first always."""
     w = Window.partitionBy("table").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = corpus.withColumn("_b", F.sum(F.octet_length("data")).over(w))
+    rows = corpus.withColumn("_b", F.sum(F.coalesce(F.octet_length("data"), F.lit(0))).over(w))
     return rows.where((F.col("_b") <= target) | (F.col("_b") == F.octet_length("data"))).drop("_b")
 
 
