@@ -25,6 +25,8 @@ KINDS = {
     "ADDRESS": "\\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\\b",
 }
 ENTITY = "|".join(f"({p})" for p in KINDS.values()).replace("(", "(?:").replace("[(?:]", "[(]")  # groups would end up among the matches
+#: What every entity has.
+SIGN = "[0-9@]"
 #: Words on either side of an entity that are taken as said with it.
 WINDOW = 8
 #: Characters on either side in which these words are sought.
@@ -39,6 +41,10 @@ NOT_TERM = "[^\\p{L}\\p{N}]+"
 _TERM_BYTES = 80
 
 
+def has_entity(text: Column) -> Column:
+    return text.rlike(SIGN) & text.rlike(ENTITY)
+
+
 def _kind(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -48,7 +54,7 @@ def _kind(entity: Column) -> Column:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """(passage, entity, terms): each distinct passage about an entity once: the hash of its words, the entity (lower case, its letters and digits), the distinct terms beside it."""
-    rows = docs.where(F.col("text").rlike(ENTITY)).select(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)).alias("found"), F.split("text", ENTITY).alias("gaps"))
+    rows = docs.where(has_entity(F.col("text"))).select(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)).alias("found"), F.split("text", ENTITY).alias("gaps"))
     one = rows.select("gaps", F.posexplode("found").alias("i", "x"))
     terms = lambda c: F.filter(F.split(F.lower(c), NOT_TERM), lambda w: w != "")
     gap = lambda k: F.coalesce(F.get("gaps", k), F.lit(""))
@@ -104,7 +110,7 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     )
     held = materialise(held)
     marked = docs.withColumn(rid, F.xxhash64("text")).join(small_side(held, held.count(), 400), rid, "left")
-    marked = marked.where(F.col(hard).isNotNull() | F.col("text").rlike(ENTITY))
+    marked = marked.where(F.col(hard).isNotNull() | has_entity(F.col("text")))
     empty = F.array().cast("array<string>")
     # split at entities; what stands between them gives up its terms
     gaps, found = F.split("text", ENTITY), F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
