@@ -22,8 +22,10 @@ def find_all(c: Column, literal: str) -> Column:
     """All places of a literal, overlapping ones too, in order. The empty literal stands everywhere, the end included."""
     if not literal:
         return F.sequence(F.lit(0), F.octet_length(c))
-    view, m = byte_view(c), len(literal.encode())
-    hit = F.filter(F.sequence(F.lit(1), F.greatest(F.octet_length(c) - m + 1, F.lit(1))), lambda i: F.substring(view, i, F.lit(m)) == latin1(literal))
+    chars, m = F.split(byte_view(c), ""), len(literal.encode())
+    at = F.sequence(F.lit(1), F.greatest(F.octet_length(c) - m + 1, F.lit(1)))
+    # a variable of a function is computed once; what stands inside would be computed for each place
+    hit = F.get(F.transform(F.array(chars), lambda b: F.filter(at, lambda i: F.array_join(F.slice(b, i, F.lit(m)), "") == latin1(literal))), F.lit(0))
     hit = F.transform(hit, lambda i: i - 1)
     return F.when(c.contains(literal), hit).when(c.isNotNull(), F.array().cast("array<int>"))
 
@@ -60,9 +62,10 @@ def kmer_diagonals(rows: DataFrame, id_column: str, text_column: str, pattern: s
     schema = rows.select(F.col(id_column).alias("id"), F.lit(0).alias("diagonal"), F.lit(0).cast("long").alias("hits")).schema
     if k <= 0 or not places:
         return rows.sparkSession.createDataFrame([], schema)
-    view = byte_view(F.col(text_column))
+    chars = F.split(byte_view(F.col(text_column)), "")
     table = F.create_map(*[x for s, at in places.items() for x in (F.lit(s), F.array(*map(F.lit, at)))])
-    grams = F.transform(F.sequence(F.lit(1), F.octet_length(text_column) - k + 1), lambda i: F.struct(i.alias("i"), F.substring(view, i, F.lit(k)).alias("g")))
+    at = F.sequence(F.lit(1), F.octet_length(text_column) - k + 1)
+    grams = F.get(F.transform(F.array(chars), lambda b: F.transform(at, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(b, i, F.lit(k)), "").alias("g")))), F.lit(0))
     known = F.filter(F.transform(grams, lambda s: F.struct(s.i.alias("i"), F.try_element_at(table, s.g).alias("at"))), lambda s: s["at"].isNotNull())
     seeds = rows.where(F.octet_length(text_column) >= k).select(F.col(id_column).alias("id"), F.explode(known).alias("s"))
     hits = seeds.select("id", (F.col("s.i") - 1).alias("i"), F.explode("s.at").alias("j")).select("id", (F.col("i") - F.col("j")).alias("diagonal"))

@@ -20,9 +20,11 @@ BROAD, BROAD_SHARE = 100_000, 0.01
 
 def trigram_index(corpus: DataFrame) -> DataFrame:
     """(gram, table, row_id): the distinct runs of three bytes of each text, in hexadecimal."""
-    view = byte_view(F.col("data"))
-    grams = F.transform(F.sequence(F.lit(1), F.octet_length("data") - 2), lambda i: F.hex(F.encode(F.substring(view, i, F.lit(3)), "iso-8859-1")))
-    return corpus.where(F.octet_length("data") >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), "table", "row_id")
+    # an array of bytes gives each run at once, where substring would count from the beginning of the text
+    rows = corpus.where(F.octet_length("data") >= 3).select("table", "row_id", F.explode(F.array(F.split(byte_view(F.col("data")), ""))).alias("b"))
+    at = lambda i: F.get("b", i)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("b") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2))))
+    return rows.select(F.explode(grams).alias("g"), "table", "row_id").select(F.hex(F.encode("g", "iso-8859-1")).alias("gram"), "table", "row_id")
 
 
 def grams_of(literal: str) -> list[str]:
@@ -50,9 +52,9 @@ def trigram_like(corpus: DataFrame, index: DataFrame, pattern: str, underscore:
 
 def suffix_index(corpus: DataFrame, keep: int = SUFFIX_BYTES) -> DataFrame:
     """(suffix, table, row_id, position): the first `keep` bytes of every suffix of each text, a character a byte; positions from 0. To be range-partitioned by suffix."""
-    view = byte_view(F.col("data"))
-    at = F.sequence(F.lit(1), F.octet_length("data"))
-    rows = corpus.where(F.octet_length("data") > 0).select("table", "row_id", F.explode(F.transform(at, lambda i: F.struct(F.substring(view, i, F.lit(keep)).alias("s"), (i - 1).alias("p")))).alias("x"))
+    rows = corpus.where(F.octet_length("data") > 0).select("table", "row_id", F.explode(F.array(F.split(byte_view(F.col("data")), ""))).alias("b"))
+    one = F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: F.struct(F.array_join(F.slice("b", i, F.lit(keep)), "").alias("s"), (i - 1).alias("p")))
+    rows = rows.select("table", "row_id", F.explode(one).alias("x"))
     return rows.select(F.col("x.s").alias("suffix"), "table", "row_id", F.col("x.p").alias("position"))
 
 
