@@ -18,8 +18,8 @@ def keep_good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, but for two edits, earlier in the corpus."""
-    return line_dedup.drop_repeated_lines(docs)
+    """Documents without lines, of whatever length, that stand, but for two edits, earlier in the corpus; the shortest must be equal."""
+    return line_dedup.drop_repeated_lines(docs, min_chars=line_dedup.THRESHOLD + 1, short=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from glyphsieve.llm._common import fresh, materialise, small_side
 from glyphsieve.llm._words import Prefix, mix
 
 THRESHOLD = 2
-#: Shorter lines stay out: two edits would join unlike ones, and brief lines repeat in clean prose.
+#: Shorter lines stay out unless they are asked for: two edits would join unlike ones, and brief lines repeat in clean prose.
 MIN_CHARS = 16
 _PAIRS_AT_ONCE = 1 << 20
 _CELLS_AT_ONCE = 1 << 21
@@ -213,19 +213,19 @@ def edit_join(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return both.mapInArrow(partial(_verify, threshold), "a long, b long, distance int")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Occurrences of lines within threshold edits of an earlier line: doc_id, line_no, first_doc_id, first_line_no (the earliest such line), distance.
 
-    Earlier means a smaller (doc_id, line_no), whether or not that line is itself a repeat. line_no counts from 0. Lines of fewer than min_chars characters,
-    blank lines, and documents without id or text take no part. Rows with the same doc_id are one document: lines at the same place don't repeat each other.
+    Earlier means a smaller (doc_id, line_no), whether or not that line is itself a repeat. line_no counts from 0. Lines of fewer than min_chars characters
+    repeat equal ones only, if `short`, and else take no part; nor do blank lines, and documents without id or text. Rows with the same doc_id are one document: lines at the same place don't repeat each other.
     Other columns are ignored. Lines count whole, whatever their length.
     """
     if min_chars <= threshold:
         raise ValueError("min_chars must be greater than threshold")
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, 1 if short else min_chars)
     spots = materialise(lines.select("h", F.struct("doc_id", "line_no").alias("spot")).distinct())
     firsts = spots.groupBy("h").agg(F.min("spot").alias("first"))
-    pairs = edit_join(lines, threshold)
+    pairs = edit_join(lines.where(F.length("line") >= min_chars), threshold)
     there, back = (F.struct(F.col(x).alias("h"), F.col(y).alias("other"), "distance") for x, y in ("ab", "ba"))
     both = pairs.select(F.explode(F.array(there, back)).alias("p")).select("p.*")
     both = both.join(firsts, "h").withColumnRenamed("first", "own").join(firsts.withColumnRenamed("h", "other"), "other")
@@ -237,13 +237,13 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return found.select("doc_id", "line_no", F.col("by.first.doc_id").alias("first_doc_id"), F.col("by.first.line_no").alias("first_line_no"), F.col("by.distance").alias("distance"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs without the lines that repeated_lines() finds: the same columns, with text (and n_chars, if there) of what is left.
 
     A document of which no line is left goes: all of it stands elsewhere. Documents without repeats, id or text pass unchanged; so does an empty table.
     """
     numbers, kept, key = fresh(docs, "gs_numbers"), fresh(docs, "gs_left"), fresh(docs, "gs_doc_id")
-    gone = repeated_lines(docs, threshold, min_chars).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(numbers))
+    gone = repeated_lines(docs, threshold, min_chars, short).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(numbers))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left")
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(numbers, i))
     cut = F.when(F.col(numbers).isNotNull(), F.array_join(left, "\n"))
@@ -278,3 +278,9 @@ SELECT doc_id, line_no, f[1] AS first_doc_id, f[2] AS first_line_no, CAST(distan
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query() over lines of every length: the edit join takes all that are longer than THRESHOLD, and shorter ones repeat equal ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return repeated_lines(docs, min_chars=THRESHOLD + 1, short=True)

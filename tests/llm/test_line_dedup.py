@@ -101,3 +101,21 @@ def test_hot_key_is_handled_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(np.full(40, 3)), pa.array(np.arange(40))], names=["key", "h"])
     found = [p for b in L._pairs_of_keys(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert set(found) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_short_lines_repeat_too(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(d, "\n".join("".join(rng.choice("abcdé.") for _ in range(rng.choice((1, 2, 3, 5, 9, 14)))) for _ in range(6)), "en", "s", 0) for d in range(25)]
+    rows += [(40, "Of, edti oner.\nIt\n\n ", "en", "s", 0), (41, "Of, edti oner.\nIt\nAt", "en", "s", 0), (42, "Of, edti ones!", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(d, k, x) for d, t, *_ in sorted(rows) for k, x in enumerate(t.split("\n")) if x.strip()]
+    for least, found in ((L.THRESHOLD + 1, L.whole_query(spark, str(tmp_path))), (L.MIN_CHARS, L.repeated_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), short=True))):
+        expected = []
+        for i, (d, k, x) in enumerate(lines):
+            near = [(a, b, L._plain_distance(x, y)) for a, b, y in lines[:i] if x == y or min(len(x), len(y)) >= least and L._plain_distance(x, y) <= L.THRESHOLD]
+            # equal lines share what another line gives them
+            expected += [(d, k, *near[0])] if near else []
+        assert sorted(tuple(r) for r in found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect()) == expected
+        assert (41, 0, 40, 0, 0) in expected and (41, 1, 40, 1, 0) in expected
+    left = {r.doc_id: r.text for r in L.drop_repeated_lines(spark.createDataFrame(rows[25:], SCHEMA), min_chars=L.THRESHOLD + 1, short=True).collect()}
+    assert left == {40: "Of, edti oner.\nIt\n\n ", 41: "At"}
