@@ -4,8 +4,8 @@ Protected entities are identifiers: mail addresses, telephone, card and account
 where both occur in the corpus: the pointwise mutual information of term and entity, as a share of the entity's own information content, is 1 if the term tells
 the entity as surely as its own name. Entities disclose themselves and become their kind; terms from GENERALISE on become their shape, from REMOVE on they go.
 
-Counts are of distinct passages, so that copies of a document prove nothing. Everything is built-in functions; what is shuffled are the terms beside entities
-and the counts of these terms, not the corpus.
+Counts are of distinct texts, so that copies of a document prove nothing (or of distinct passages around entities, see mentions()). Everything is built-in
+functions; what is shuffled are entities, the texts that hold one of those that enough texts hold, their terms and the counts of these, not the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SIGN = "[0-9@]"
 WINDOW = 8
 #: Characters on either side in which these words are sought.
 REACH = 160
-#: A term and an entity must come together in so many distinct passages, and a term must be so long.
+#: A term and an entity must come together in so many distinct texts (passages), and a term must be so long.
 MIN_JOINT = 3
 MIN_CHARS = 3
 GENERALISE = 0.75
@@ -63,43 +63,66 @@ def mentions(docs: DataFrame) -> DataFrame:
     before = F.when(F.length(gap(F.col("i"))) > REACH, F.slice(before, F.lit(2), F.size(before))).otherwise(before)
     after = F.when(F.length(gap(F.col("i") + 1)) > REACH, F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
     last = F.slice(before, F.greatest(F.size(before) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))
-    said = one.select(F.lower(F.regexp_replace("x", "[^A-Za-z0-9@.]+", "")).alias("entity"), F.concat(last, F.slice(after, F.lit(1), F.lit(WINDOW))).alias("words"))
+    said = one.select(_name(F.col("x")).alias("entity"), F.concat(last, F.slice(after, F.lit(1), F.lit(WINDOW))).alias("words"))
     said = said.select("entity", F.xxhash64("entity", "words").alias("passage"), F.array_distinct(F.filter("words", lambda w: F.length(w) >= MIN_CHARS)).alias("terms"))
     return said.dropDuplicates(["entity", "passage"])
 
 
-def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, joint: int = MIN_JOINT) -> DataFrame:
+def _name(x: Column) -> Column:
+    """An entity as it is counted: lower case, its letters and digits."""
+    return F.lower(F.regexp_replace(x, "[^A-Za-z0-9@.]+", ""))
+
+
+def holders(docs: DataFrame, joint: int) -> tuple[DataFrame, DataFrame]:
+    """(passage, entity) of the entities that at least `joint` distinct texts hold, passage being the hash of a text; and (passage, terms) of these texts: the
+    distinct terms outside all entities, wherever they stand. Entities in fewer texts can't come together with a term in so many."""
+    found = docs.where(has_entity(F.col("text"))).select(F.xxhash64("text").alias("passage"), F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)), _name)).alias("entities"))
+    found = materialise(found.select("passage", F.explode("entities").alias("entity")).distinct())
+    often = materialise(found.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= joint).select("entity"))
+    held = materialise(found.join(small_side(often, often.count(), _TERM_BYTES), "entity", "left_semi"))
+    asked = materialise(held.select("passage").distinct())
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("passage"), "text").join(small_side(asked, asked.count(), 16), "passage", "left_semi")
+    terms = F.array_distinct(F.filter(F.split(F.lower(F.array_join(F.split("text", ENTITY), " ")), NOT_TERM), lambda w: F.length(w) >= MIN_CHARS))
+    return held, texts.select("passage", terms.alias("terms")).dropDuplicates(["passage"])
+
+
+def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, joint: int = MIN_JOINT, whole: bool = False) -> DataFrame:
     """(term, entity, disclosure) of the terms whose disclosure of some entity reaches `generalise`: for each term, the entity that it reveals most.
 
     Probabilities are shares of N, the distinct texts and the distinct passages: n(e) passages about the entity, n(t) distinct texts with the term, n(t, e) passages
     with both, and n(t) is taken to be n(t, e) at least. Disclosure is log(n(t, e) N / (n(t) n(e))) / log(N / n(e)), 1 at most.
+    With `whole`, N, n(e) and n(t, e) are of distinct texts, and a term need not stand near the entity; an entity that all texts hold has no information.
     """
-    said = materialise(mentions(docs))
-    pairs = said.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= joint)
+    if whole:
+        said, terms = holders(docs, joint)
+        beside = said.join(terms, "passage")
+    else:
+        said = beside = materialise(mentions(docs))
+    pairs = beside.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= joint)
     pairs = materialise(pairs)
     asked = materialise(pairs.select("term").distinct())
     n_asked = asked.count()
     texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
     own = texts.join(small_side(asked, n_asked, _TERM_BYTES), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h")).distinct().count() + said.count()
+    total = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h")).distinct().count() + (0 if whole else said.count())
     entity = said.groupBy("entity").agg(F.count("*").alias("n_entity"))
     rows = pairs.join(own, "term").join(entity, "entity")
     n_term = F.greatest("n_term", "both")
     mutual = F.log(F.col("both") * F.lit(float(total)) / (n_term * F.col("n_entity")))
-    rows = rows.select("term", "entity", F.least(F.lit(1.0), mutual / F.log(F.lit(float(total)) / F.col("n_entity"))).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    rows = rows.where(F.col("n_entity") < total).select("term", "entity", F.least(F.lit(1.0), mutual / F.log(F.lit(float(total)) / F.col("n_entity"))).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return rows.groupBy("term").agg(F.max_by("entity", F.struct("disclosure", "entity")).alias("entity"), F.max("disclosure").alias("disclosure"))
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, joint: int = MIN_JOINT) -> DataFrame:
     """The documents that hold something to sanitise: docs' columns with the sanitised text (and n_chars, if there), and n_entities, n_generalised, n_removed.
 
-    Entities become [KIND]. Of disclosing_terms(), those of a disclosure of `remove` or more are taken out wherever they stand, whatever the case of their letters;
+    Entities become [KIND]. Of disclosing_terms() of whole texts, those of a disclosure of `remove` or more are taken out wherever they stand, whatever the case of their letters;
     others become [NUMBER] or [WORD]. Null and empty texts, and documents with nothing to sanitise, aren't in the result; a null doc_id stays null; repeated rows
     are sanitised each. Columns of docs by these three names are replaced. Texts are searched whole.
     """
     own = [c for c in docs.columns if c.lower() not in ("n_entities", "n_generalised", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    terms = materialise(disclosing_terms(docs, generalise, joint))
+    terms = materialise(disclosing_terms(docs, generalise, joint, whole=True))
     n_terms = terms.count()
     rid, hard, soft, work = (fresh(docs, x) for x in ("gs_row", "gs_hard", "gs_soft", "gs_text"))
     # per text, which of its words are such terms: texts are known by their hash, and only those with a term take part

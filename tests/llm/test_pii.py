@@ -101,3 +101,31 @@ def test_empty_and_clean_tables(df):
 def test_kinds(spark, text, expected):
     got = [r.text for r in P.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
     assert got == ([expected] if expected not in (None, text) else [])
+
+
+def test_terms_of_whole_texts_disclose(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30)) for i in range(80)]
+    far = " ".join(f"common{k % 40}" for k in range(60))
+    rows += [(100 + i, f"{prose(rng, 20)} -- Wilhelmina, +1 (386) 555-3733, {JANE}") for i in range(8)]  # one window in many texts, behind another identifier
+    rows += [(110 + i, f"Quixote {prose(rng, 5)} {far} {CARD} {prose(rng, 5)}") for i in range(5)]  # far from the identifier
+    rows += [(120 + k, f"copy of one text beside 078-05-1120 with xylophone {far}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {t for _, t in rows}
+    names = lambda t: {re.sub("[^A-Za-z0-9@.]+", "", m.group()).lower() for m in re.finditer(P.ENTITY, t)}
+    expected = {}
+    for e in set().union(*map(names, texts)):
+        held = [set(re.findall("[^\\W_]+", re.sub(P.ENTITY, " ", t).lower())) for t in texts if e in names(t)]
+        for w in {w for t in held for w in t if len(w) >= P.MIN_CHARS}:
+            both = sum(w in t for t in held)
+            if both >= P.MIN_JOINT:
+                own = max(both, sum(w in re.findall("[^\\W_]+", t.lower()) for t in texts))
+                d = min(1.0, math.log(both * len(texts) / (own * len(held))) / math.log(len(texts) / len(held)))
+                if d >= P.GENERALISE:
+                    expected[w] = max(expected.get(w, 0), d)
+    assert {"wilhelmina", "quixote"} <= set(expected) and "xylophone" not in expected
+    assert {r.term: r.disclosure for r in P.disclosing_terms(df, whole=True).collect()} == pytest.approx(expected)
+    out = {r.doc_id: r.text for r in P.sanitise(df).collect()}
+    assert not any(re.search("(?i)wilhelmina|quixote", t) for t in out.values()) and "xylophone" in out[120]
+    every = spark.createDataFrame([(k, f"text {k} of {JANE}") for k in range(4)], "doc_id long, text string")  # an entity that all texts hold tells nothing
+    assert {r.text for r in P.sanitise(every).collect()} == {f"text {k} of [EMAIL]" for k in range(4)}
