@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value: Any) -> str:
+    """Writes value into the shared folder; the place from which shared() reads it in any task."""
+    path = f"{shared_dir(spark)}/glyphsieve-{uuid.uuid4().hex}.pickle"
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(at.rpartition("/")[0])
+    with fs.open_output_stream(at) as out:
+        out.write(pickle.dumps(value, pickle.HIGHEST_PROTOCOL))
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def shared(path: str) -> Any:
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df marked for broadcast if `rows` rows of `row_bytes` stay under BROADCAST_BYTES; otherwise df as it is, so that the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

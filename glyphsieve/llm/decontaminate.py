@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsieve.llm._common import text_batches
+from glyphsieve.llm._common import share, shared, text_batches
 from glyphsieve.llm._words import WORD, bytes_of, char_index, offsets_of, words
 from glyphsieve.llm.fm_index import FMIndex
 
@@ -23,7 +23,8 @@ from glyphsieve.llm.fm_index import FMIndex
 PHRASE_WORDS = 8
 MIN_WORDS = 5
 SHARD_BYTES = 2 << 20
-#: Bytes of benchmark text whose phrases travel to the tasks at once. A larger benchmark is searched in as many passes as it has such parts.
+#: Bytes of benchmark text whose phrases a task holds at once. Those of a larger benchmark lie in the shared folder in such parts, and a shard is searched for one
+#: part after the other before anything is cut.
 BENCHMARK_BYTES = 16 << 20
 
 
@@ -52,16 +53,14 @@ def phrases_of(texts: pa.Array, size: int = PHRASE_WORDS, least: int = MIN_WORDS
     return Phrases(vocabulary, {n: np.unique(np.concatenate(x), axis=0) for n, x in rows.items()})
 
 
-def find_spans(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merged occurrences in a shard: the row, first and last character (end excluded) and words of each, in order."""
-    h, starts, ends, first, folded = words(text)
-    none = (np.zeros(0, np.int64),) * 4
-    if len(h) == 0 or not phrases.by_length:
-        return none
+def _covered(h: np.ndarray, first: np.ndarray, doc: np.ndarray, phrases: Phrases) -> np.ndarray:
+    """Which words (hashes h, of texts that begin at `first`) the phrases cover."""
+    inside = np.zeros(len(h), bool)
+    if not phrases.by_length:
+        return inside
     place = np.minimum(np.searchsorted(phrases.vocabulary, h), len(phrases.vocabulary) - 1)
     symbol = np.where(phrases.vocabulary[place] == h, place + 1, 0)
     # a separator before every text and after the last
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     t = np.zeros(len(h) + len(first), np.int64)
     at = np.arange(len(h)) + doc + 1
     t[at] = symbol
@@ -80,27 +79,36 @@ def find_spans(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
         begin = word_at[index.locate(suffixes)]
         np.add.at(covered, begin, 1)
         np.add.at(covered, begin + n, -1)
-    inside = np.cumsum(covered)[:-1] > 0
+    return np.cumsum(covered)[:-1] > 0
+
+
+def find_spans(text: pa.Array, *parts: Phrases | str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merged occurrences in a shard: the row, first and last character (end excluded) and words of each, in order. parts: phrases, or where they are shared."""
+    h, starts, ends, first, folded = words(text)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    inside = np.zeros(len(h), bool)
+    for part in parts if len(h) else ():
+        inside |= _covered(h, first, doc, shared(part) if isinstance(part, str) else part)
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
     closes[:-1] &= ~inside[1:] | (doc[1:] != doc[:-1])
     a, b = np.flatnonzero(opens), np.flatnonzero(closes)
     if len(a) == 0:
-        return none
+        return (np.zeros(0, np.int64),) * 4
     data, offsets = bytes_of(folded), offsets_of(folded)
     return doc[a], char_index(data, offsets, doc[a], starts[a]), char_index(data, offsets, doc[a], ends[b]), b - a + 1
 
 
-def _spans(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(found: list[Phrases | str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, text in text_batches(batches, 1, SHARD_BYTES):
-        row, start, end, n = find_spans(text, phrases)
+        row, start, end, n = find_spans(text, *found)
         ids = batch.column(0).take(pa.array(row))
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in (start, end, n))], names=["doc_id", "span_start", "span_end", "span_words"])
 
 
-def _cut(phrases: Phrases, text_at: int, chars_at: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(found: list[Phrases | str], text_at: int, chars_at: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, text in text_batches(batches, text_at, SHARD_BYTES):
-        row, start, end, _ = find_spans(text, phrases)
+        row, start, end, _ = find_spans(text, *found)
         if len(row) == 0:
             yield batch
             continue
@@ -120,39 +128,25 @@ def _cut(phrases: Phrases, text_at: int, chars_at: int | None, batches: Iterator
         yield out.take(pa.array([i for i in range(len(texts)) if i not in gone], pa.int64())) if gone else out
 
 
-def parts(benchmark: DataFrame, size: int, least: int) -> Iterator[Phrases]:
-    """The phrases of benchmark(text), a part of about BENCHMARK_BYTES at a time."""
+def parts(benchmark: DataFrame, size: int, least: int) -> list[Phrases | str]:
+    """The phrases of benchmark(text), a part for about every BENCHMARK_BYTES: one as it is, several as files of the shared folder."""
     items = benchmark.where("text IS NOT NULL").select("text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BENCHMARK_BYTES)
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield phrases_of(part.toArrow().column(0).combine_chunks(), size, least)
+    made = (phrases_of((items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)).toArrow().column(0).combine_chunks(), size, least) for k in range(n))
+    return list(made) if n < 2 else [share(benchmark.sparkSession, p) for p in made]
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, span_start, span_end, span_words) of everything in docs that phrases of benchmark(text) cover: characters from 0, the end excluded.
 
-    Overlapping and touching occurrences are one span (of a benchmark searched in several passes, those that overlap). Null and empty texts have none; so has an empty table, or any table beside an empty benchmark. A null
+    Overlapping and touching occurrences are one span. Null and empty texts have none; so has an empty table, or any table beside an empty benchmark. A null
     doc_id stays null; of repeated rows each gives its spans. Other columns are ignored. Texts are searched whole, however long.
     """
     rows = docs.select("doc_id", "text")
     schema = rows.select("doc_id", F.lit(0).alias("span_start"), F.lit(0).alias("span_end"), F.lit(0).alias("span_words")).schema
-    found = [rows.mapInArrow(partial(_spans, p), schema) for p in parts(benchmark, size, least)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    if len(found) == 1:
-        return found[0]
-    return _merged(reduce(DataFrame.unionByName, found))
-
-
-def _merged(spans: DataFrame) -> DataFrame:
-    """Spans of several passes as one set: overlapping ones of a document become one, of as many words as the largest of them."""
-    w = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
-    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("opens", F.coalesce((F.col("span_start") > reach).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("island", F.sum("opens").over(w))
-    return numbered.groupBy("doc_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.max("span_words").alias("span_words")).drop("island")
+    found = parts(benchmark, size, least)
+    return rows.mapInArrow(partial(_spans, found), schema) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, least: int = MIN_WORDS) -> DataFrame:
@@ -162,9 +156,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORD
     """
     columns = [c.lower() for c in docs.columns]
     at, chars_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-    for p in parts(benchmark, size, least):
-        docs = docs.mapInArrow(partial(_cut, p, at, chars_at), docs.schema)
-    return docs
+    found = parts(benchmark, size, least)
+    return docs.mapInArrow(partial(_cut, found, at, chars_at), docs.schema) if found else docs
 
 
 def oracle(size: int = PHRASE_WORDS, least: int = MIN_WORDS) -> str:

@@ -131,3 +131,14 @@ def test_removal_keeps_the_rest(spark):
     assert D.contaminated_spans(df.where("false"), benchmark).count() == 0
     assert D.contaminated_spans(df, benchmark.where("false")).count() == 0
     assert D.decontaminate(df, benchmark.where("false")).count() == len(docs)
+
+
+def test_parts_find_and_cut_what_one_search_does(spark, monkeypatch):
+    docs, items, df, benchmark = frames(spark)
+    rows = lambda frame: sorted((tuple(r) for r in frame.collect()), key=repr)
+    spans, left = rows(D.contaminated_spans(df, benchmark)), rows(D.decontaminate(df, benchmark))
+    monkeypatch.setattr(D, "BENCHMARK_BYTES", 200)
+    found = D.parts(benchmark, D.PHRASE_WORDS, D.MIN_WORDS)
+    assert len(found) > 2 and all(isinstance(p, str) for p in found)
+    assert rows(D.contaminated_spans(df, benchmark)) == spans == brute(docs, items)
+    assert rows(D.decontaminate(df, benchmark)) == left
