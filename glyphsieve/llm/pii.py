@@ -4,7 +4,7 @@ Protected entities are identifiers: mail addresses, telephone, card and account
 where both occur in the corpus: the pointwise mutual information of term and entity, as a share of the entity's own information content, is 1 if the term tells
 the entity as surely as its own name. Entities disclose themselves and become their kind; terms from GENERALISE on become their shape, from REMOVE on they go.
 
-Counts are of distinct texts, so that copies of a document prove nothing (or of distinct passages around entities, see mentions()). Everything is built-in
+Counts are of distinct passages or, if asked, of distinct whole texts, so that exact copies of a document prove nothing. Everything is built-in
 functions; what is shuffled are entities, the texts that hold one of those that enough texts hold, their terms and the counts of these, not the corpus.
 """
 
@@ -113,16 +113,16 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, joint: int
     return rows.groupBy("term").agg(F.max_by("entity", F.struct("disclosure", "entity")).alias("entity"), F.max("disclosure").alias("disclosure"))
 
 
-def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, joint: int = MIN_JOINT) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, joint: int = MIN_JOINT, whole: bool = False) -> DataFrame:
     """The documents that hold something to sanitise: docs' columns with the sanitised text (and n_chars, if there), and n_entities, n_generalised, n_removed.
 
-    Entities become [KIND]. Of disclosing_terms() of whole texts, those of a disclosure of `remove` or more are taken out wherever they stand, whatever the case of their letters;
+    Entities become [KIND]. Of disclosing_terms(), those of a disclosure of `remove` or more are taken out wherever they stand, whatever the case of their letters;
     others become [NUMBER] or [WORD]. Null and empty texts, and documents with nothing to sanitise, aren't in the result; a null doc_id stays null; repeated rows
     are sanitised each. Columns of docs by these three names are replaced. Texts are searched whole.
     """
     own = [c for c in docs.columns if c.lower() not in ("n_entities", "n_generalised", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    terms = materialise(disclosing_terms(docs, generalise, joint, whole=True))
+    terms = materialise(disclosing_terms(docs, generalise, joint, whole))
     n_terms = terms.count()
     rid, hard, soft, work = (fresh(docs, x) for x in ("gs_row", "gs_hard", "gs_soft", "gs_text"))
     # per text, which of its words are such terms: texts are known by their hash, and only those with a term take part

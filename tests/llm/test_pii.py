@@ -125,7 +125,7 @@ def test_terms_of_whole_texts_disclose(spark):
                     expected[w] = max(expected.get(w, 0), d)
     assert {"wilhelmina", "quixote"} <= set(expected) and "xylophone" not in expected
     assert {r.term: r.disclosure for r in P.disclosing_terms(df, whole=True).collect()} == pytest.approx(expected)
-    out = {r.doc_id: r.text for r in P.sanitise(df).collect()}
+    out = {r.doc_id: r.text for r in P.sanitise(df, whole=True).collect()}
     assert not any(re.search("(?i)wilhelmina|quixote", t) for t in out.values()) and "xylophone" in out[120]
     every = spark.createDataFrame([(k, f"text {k} of {JANE}") for k in range(4)], "doc_id long, text string")  # an entity that all texts hold tells nothing
-    assert {r.text for r in P.sanitise(every).collect()} == {f"text {k} of [EMAIL]" for k in range(4)}
+    assert {r.text for r in P.sanitise(every, whole=True).collect()} == {f"text {k} of [EMAIL]" for k in range(4)}
