@@ -115,10 +115,9 @@ def pattern_literals(p: Column) -> Column:
 
 
 def pattern_kind(p: Column) -> Column:
-    """exact, contains or wildcard."""
-    inner = F.regexp_replace(p, "^%|%$", "")
-    plain = ~inner.rlike("[%_]")
-    return F.when(~p.rlike("[%_]"), F.lit("exact")).when(p.startswith("%") & p.endswith("%") & (F.length(p) > 2) & plain, F.lit("contains")).otherwise(F.lit("wildcard"))
+    """exact; contains, which begins and ends with % and has no other wildcard (nor need it have a literal); or wildcard."""
+    percents = F.length(p) - F.length(F.replace(p, F.lit("%"), F.lit("")))
+    return F.when(~p.rlike("[%_]"), F.lit("exact")).when(p.startswith("%") & p.endswith("%") & (percents == 2) & ~p.contains("_"), F.lit("contains")).otherwise(F.lit("wildcard"))
 
 
 def pattern_strategy(p: Column) -> Column:

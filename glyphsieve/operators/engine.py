@@ -41,22 +41,24 @@ def execute_all(corpus: DataFrame, patterns: list[str], underscore: str = "byte"
 
 
 def hits_by_pattern_table(tables: list[tuple[str, DataFrame, str]], patterns: list[str], underscore: str = "byte") -> DataFrame:
-    """(pattern_index, pattern, table, hits), zeros included. tables: name, rows, text column. Tables of the same rows are counted in one scan of them.
+    """(pattern_index, pattern, table, hits), zeros included. tables: name, rows, text column. Tables of the same rows are read in one scan of them.
 
-    Each task sums up all patterns of its rows; what is shuffled is one row a task.
+    One projection judges all texts of all tables by up to AT_ONCE patterns; each task sums up its hits, and what is shuffled is a row a pattern, table and task.
     """
     by_rows: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
     for name, rows, column in tables:
         by_rows.setdefault(id(rows), (rows, []))[1].append((name, column))
-    out = []
+    parts = []
     for rows, columns in by_rows.values():
-        for k in range(0, len(patterns), AT_ONCE):
-            part = list(enumerate(patterns))[k : k + AT_ONCE]
-            compiled = [(i, p, compile_like(p, underscore)) for i, p in part]
-            sums = [F.count_if(c.matches(F.col(column))).alias(f"h{i}_{t}") for i, _, c in compiled for t, (_, column) in enumerate(columns)]
-            cells = [F.struct(F.lit(i).alias("pattern_index"), F.lit(p).alias("pattern"), F.lit(name).alias("table"), F.col(f"h{i}_{t}").alias("hits")) for i, p, _ in compiled for t, (name, _) in enumerate(columns)]
-            out.append(rows.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
-    return reduce(DataFrame.unionByName, out)
+        cells = [F.struct(F.lit(name).alias("table"), F.col(column).alias("data")) for name, column in columns]
+        parts.append(rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*") if len(cells) > 1 else rows.select(F.lit(columns[0][0]).alias("table"), F.col(columns[0][1]).alias("data")))
+    corpus, out = reduce(DataFrame.unionByName, parts), []
+    for k in range(0, len(patterns), AT_ONCE):
+        hits = [F.when(compile_like(p, underscore).matches(F.col("data")), F.lit(k + i)) for i, p in enumerate(patterns[k : k + AT_ONCE])]
+        out.append(corpus.select("table", F.explode(F.array_compact(F.array(*hits))).alias("pattern_index")))
+    counts = reduce(DataFrame.unionByName, out).groupBy("pattern_index", "table").agg(F.count("*").alias("hits"))
+    every = corpus.sparkSession.createDataFrame([(i, p, name) for i, p in enumerate(patterns) for name, _, _ in tables], "pattern_index int, pattern string, table string")
+    return every.join(counts, ["pattern_index", "table"], "left").select("pattern_index", "pattern", "table", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def table_stats(corpus: DataFrame) -> DataFrame:

@@ -1,35 +1,64 @@
 """Candidate indexes as tables: byte trigrams and suffixes. Candidates are checked again, so every answer is that of a scan.
 
-Both are (key, row) tables to be written once, sorted or bucketed by key, and probed by a few keys.
+Both are (key, row) tables, written once in the order of their keys and then opened: a probe for a few keys reads the row groups whose range of keys holds one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Iterator
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.pattern import Pattern, byte_view, compile_like, latin1
+from glyphsieve.sources.files import shared_folder
 
 #: Bytes of a suffix that the suffix table keeps.
 SUFFIX_BYTES = 24
 #: A literal with more suffixes than the larger of these (a number, a share of all) is too broad to be worth probing.
 BROAD, BROAD_SHARE = 100_000, 0.01
+#: Bytes of texts taken at once, and of a row group of an index: small ones, so that a probe reads little.
+_SLICE, _ROW_GROUP = 1 << 20, 2 << 20
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches(table, row_id, data) of about _SLICE bytes, with the bytes of all their texts and the n + 1 places of these."""
+    for batch in batches:
+        data = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        i = 0
+        while i < len(data):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + _SLICE, side="right")) - 1)
+            raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[i] : at[j]]
+            yield batch.slice(i, j - i), raw, at[i : j + 1] - at[i]
+            i = j
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, raw, at in _texts(batches):
+        if len(raw) < 3:
+            continue
+        gram = (raw[:-2].astype(np.int64) << 16) | (raw[1:-1].astype(np.int64) << 8) | raw[2:]
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        inside = row[:-2] == row[2:]  # a run doesn't reach into the next text
+        key = np.unique((row[:-2][inside] << 24) | gram[inside])
+        row = pa.array(key >> 24)
+        yield pa.RecordBatch.from_arrays([pa.array((key & 0xFFFFFF).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], names=["gram", "table", "row_id"])
 
 
 def trigram_index(corpus: DataFrame) -> DataFrame:
-    """(gram, table, row_id): the distinct runs of three bytes of each text, in hexadecimal."""
-    # an array of bytes gives each run at once, where substring would count from the beginning of the text
-    rows = corpus.where(F.octet_length("data") >= 3).select("table", "row_id", F.explode(F.array(F.split(byte_view(F.col("data")), ""))).alias("b"))
-    at = lambda i: F.get("b", i)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("b") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2))))
-    return rows.select(F.explode(grams).alias("g"), "table", "row_id").select(F.hex(F.encode("g", "iso-8859-1")).alias("gram"), "table", "row_id")
+    """(gram, table, row_id): the distinct runs of three bytes of each text, as numbers of 24 bits."""
+    rows = corpus.where(F.octet_length("data") >= 3).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
+    return rows.mapInArrow(_grams, "gram int, table string, row_id long")
 
 
-def grams_of(literal: str) -> list[str]:
+def grams_of(literal: str) -> list[int]:
     b = literal.encode()
-    return sorted({b[i : i + 3].hex().upper() for i in range(len(b) - 2)})
+    return sorted({int.from_bytes(b[i : i + 3], "big") for i in range(len(b) - 2)})
 
 
 def trigram_candidates(index: DataFrame, literal: str) -> DataFrame | None:
@@ -50,18 +79,64 @@ def trigram_like(corpus: DataFrame, index: DataFrame, pattern: str, underscore:
     return corpus.where(compiled.matches(F.col("data")))
 
 
+def _suffixes(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    letters = np.array([chr(i).encode() for i in range(256)], object)
+    wide = np.array([len(x) for x in letters], np.int64)
+    for batch, raw, at in _texts(batches):
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        position = np.arange(len(raw)) - at[row]
+        # a byte becomes one character, of one or two bytes in UTF-8
+        text = raw.tobytes().decode("iso-8859-1").encode()
+        place = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(wide[raw], out=place[1:])
+        first, last = place[:-1], place[np.minimum(np.arange(len(raw)) + keep, at[row + 1])]
+        sizes = last - first
+        offsets = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(sizes, out=offsets[1:])
+        data = np.frombuffer(text, np.uint8)[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        suffix = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([suffix, batch.column(0).take(take), batch.column(1).take(take), pa.array(position.astype(np.int32))], names=["suffix", "table", "row_id", "position"])
+
+
 def suffix_index(corpus: DataFrame, keep: int = SUFFIX_BYTES) -> DataFrame:
-    """(suffix, table, row_id, position): the first `keep` bytes of every suffix of each text, a character a byte; positions from 0. To be range-partitioned by suffix."""
-    rows = corpus.where(F.octet_length("data") > 0).select("table", "row_id", F.explode(F.array(F.split(byte_view(F.col("data")), ""))).alias("b"))
-    one = F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: F.struct(F.array_join(F.slice("b", i, F.lit(keep)), "").alias("s"), (i - 1).alias("p")))
-    rows = rows.select("table", "row_id", F.explode(one).alias("x"))
-    return rows.select(F.col("x.s").alias("suffix"), "table", "row_id", F.col("x.p").alias("position"))
+    """(suffix, table, row_id, position): the first `keep` bytes of every suffix of each text, a character a byte; positions from 0."""
+    rows = corpus.where(F.octet_length("data") > 0).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
+    return rows.mapInArrow(partial(_suffixes, keep), "suffix string, table string, row_id long, position int")
+
+
+def write_index(index: DataFrame, path: str, key: str) -> None:
+    """An index as Parquet, its keys in order over all files and within them."""
+    index.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.size", str(_ROW_GROUP)).mode("overwrite").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def persisted(corpus: DataFrame, kind: str, name: str) -> DataFrame:
+    """The trigram or suffix index of a corpus, opened from the cluster's shared folder; written there first, if no session did so before.
+
+    name: what tells this corpus, as it is now, from all others. An index that a lost session left unfinished has no _SUCCESS file, and is written again.
+    """
+    spark = corpus.sparkSession
+    path = f"{shared_folder(spark)}/{kind}-{hashlib.sha1(name.encode()).hexdigest()}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_index(trigram_index(corpus) if kind == "trigram" else suffix_index(corpus), path, "gram" if kind == "trigram" else "suffix")
+    return open_index(spark, path)
+
+
+def _starts(c, prefix: str):
+    """startswith() for the characters of byte views, with its range of keys, by which row groups are left out."""
+    return c.startswith(prefix) & (c >= prefix) & (c < prefix + "Ā")
 
 
 def suffix_search(index: DataFrame, literal: str, corpus: DataFrame | None = None, keep: int = SUFFIX_BYTES) -> DataFrame:
     """(table, row_id, position) of a literal. One longer than `keep` bytes is probed by its beginning, and needs the corpus to be checked again."""
     b = literal.encode()
-    found = index.where(F.col("suffix").startswith(latin1(literal)[:keep])).select("table", "row_id", "position")
+    found = index.where(_starts(F.col("suffix"), latin1(literal)[:keep])).select("table", "row_id", "position")
     if len(b) <= keep:
         return found
     if corpus is None:
@@ -70,14 +145,24 @@ def suffix_search(index: DataFrame, literal: str, corpus: DataFrame | None = Non
     return rows.where(F.substring(byte_view(F.col("data")), F.col("position") + 1, F.lit(len(b))) == latin1(literal)).select("table", "row_id", "position")
 
 
-def suffix_search_wildcard(index: DataFrame, pattern: str, keep: int = SUFFIX_BYTES) -> DataFrame:
-    """suffix_search() of a pattern of `keep` bytes at most whose _ stands for any one byte."""
-    if len(pattern.encode()) > keep:
-        raise ValueError(f"the index keeps {keep} bytes of a suffix")
-    compiled = compile_like(pattern + "%", "char")
-    tokens = tuple(latin1(t) if isinstance(t, str) else t for t in compiled.tokens)
-    view = Pattern(pattern, "char", tokens, 0, compiled.strategy)
-    return index.where(view.matches(F.col("suffix"))).select("table", "row_id", "position")
+def suffix_search_wildcard(index: DataFrame, pattern: str, corpus: DataFrame | None = None, keep: int = SUFFIX_BYTES) -> DataFrame:
+    """suffix_search() of a pattern whose _ stands for any one byte. One longer than `keep` bytes needs the corpus."""
+    view = latin1(pattern)
+
+    def fits(c, p: str):
+        compiled = compile_like(p + "%", "char")
+        return Pattern(p, "char", compiled.tokens, 0, compiled.strategy).matches(c)
+
+    found = index.where(fits(F.col("suffix"), view[:keep]))
+    if head := view[:keep].split("_")[0]:
+        found = found.where(_starts(F.col("suffix"), head))
+    found = found.select("table", "row_id", "position")
+    if len(view) <= keep:
+        return found
+    if corpus is None:
+        raise ValueError(f"a pattern of more than {keep} bytes needs the corpus")
+    rows = found.join(corpus, ["table", "row_id"])
+    return rows.where(fits(F.substring(byte_view(F.col("data")), F.col("position") + 1, F.lit(len(view))), view)).select("table", "row_id", "position")
 
 
 def selectivity(index: DataFrame, literals: list[str]) -> DataFrame:
@@ -94,11 +179,40 @@ def intersect(sets: list[DataFrame]) -> DataFrame:
     return reduce(lambda x, y: x.join(y, ["table", "row_id"], "left_semi"), sets[1:], first)
 
 
-def suffix_like(corpus: DataFrame, index: DataFrame, pattern: str, underscore: str = "byte", keep: int = SUFFIX_BYTES) -> DataFrame:
-    """execute() by way of the index: plain strategies need none; else rows that hold every literal that isn't too broad, then the pattern; a scan if none is left."""
+class SuffixLookup:
+    """Searches of a suffix index that remember what they found out: the number of suffixes of the index, and of those that begin with each literal asked for.
+
+    A count is a probe of a range of keys, not a scan.
+    """
+
+    def __init__(self, index: DataFrame, corpus: DataFrame | None = None, keep: int = SUFFIX_BYTES):
+        self.index, self.corpus, self.keep = index, corpus, keep
+        self._total: int | None = None
+        self._counts: dict[str, int] = {}
+
+    def count(self, literal: str) -> int:
+        """Suffixes that begin with the first `keep` bytes of a literal."""
+        if literal not in self._counts:
+            self._counts[literal] = self.index.where(_starts(F.col("suffix"), latin1(literal)[: self.keep])).count()
+        return self._counts[literal]
+
+    def broad(self, literal: str) -> bool:
+        if self._total is None:
+            self._total = self.index.count()
+        return self.count(literal) > max(BROAD, int(self._total * BROAD_SHARE))
+
+    def rows(self, literal: str) -> DataFrame:
+        """(table, row_id, position) of the suffixes that count() counts."""
+        return self.index.where(_starts(F.col("suffix"), latin1(literal)[: self.keep])).select("table", "row_id", "position")
+
+
+def suffix_like(corpus: DataFrame, index: DataFrame | SuffixLookup, pattern: str, underscore: str = "byte", keep: int = SUFFIX_BYTES) -> DataFrame:
+    """execute() by way of the index: plain strategies need none; else rows that hold every literal that isn't too broad, rarest first, then the pattern; a scan if
+    none is left."""
     compiled = compile_like(pattern, underscore)
+    lookup = index if isinstance(index, SuffixLookup) else SuffixLookup(index, corpus, keep)
     if compiled.strategy in ("percent", "general") and compiled.literals:
-        usable = [r.literal for r in selectivity(index, [x[:keep] for x in compiled.literals]).orderBy("n").collect() if not r.broad]  # a row a literal
+        usable = sorted((x for x in dict.fromkeys(compiled.literals) if not lookup.broad(x)), key=lookup.count)
         if usable:
-            corpus = corpus.join(intersect([suffix_search(index, x, keep=keep) for x in dict.fromkeys(usable) if len(x.encode()) <= keep] or [corpus]), ["table", "row_id"], "left_semi")
+            corpus = corpus.join(intersect([lookup.rows(x) for x in usable]), ["table", "row_id"], "left_semi")
     return corpus.where(compiled.matches(F.col("data")))

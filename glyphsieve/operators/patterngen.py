@@ -1,4 +1,7 @@
-"""Patterns made from data: tokens, templates, stratified choice, literals of given lengths that occur, and that don't."""
+"""Patterns made from data: tokens, templates, stratified choice, literals of given lengths that occur, and that don't.
+
+Where the order must be a shuffled one, it is that of an MD5 of the seed and the value: the same on any number of executors.
+"""
 
 from __future__ import annotations
 
@@ -7,62 +10,106 @@ from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import complexity
 
+MAX_PATTERNS = 200
+SEED = 13
+
+
+def words(c: Column) -> Column:
+    """Runs of letters and digits of three or more, not digits alone."""
+    return F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$"))
+
+
+def shuffled(c: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), c))
+
 
 def tokenize(rows: DataFrame, text_column: str) -> DataFrame:
-    """(token, n): runs of letters and digits of three or more, not digits alone, and how often each occurs."""
-    words = F.filter(F.split(text_column, "[^A-Za-z0-9]+"), lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$"))
-    return rows.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """(token, n): words and how often each occurs."""
+    return rows.select(F.explode(words(F.col(text_column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def sample_tokens(tokens: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n tokens, chosen by a hash."""
-    return tokens.orderBy(F.xxhash64("token", F.lit(seed)), "token").limit(n)
+def sample_tokens(rows: DataFrame, position: Column, fields: list[str], max_lines: int = 20_000, max_tokens: int = 10_000, seed: int = SEED) -> DataFrame:
+    """(position, i, token): the words of one field, chosen by a hash, of each of the first max_lines rows, up to the row with which max_tokens are reached."""
+    pick = F.pmod(F.conv(F.left(shuffled(F.col("p").cast("string"), seed), F.lit(7)), 16, 10).cast("int"), F.lit(len(fields)))
+    first = rows.select(position.alias("p"), F.array(*[F.col(c).cast("string") for c in fields]).alias("fields")).orderBy("p").limit(max_lines)
+    lines = first.select("p", words(F.coalesce(F.get("fields", pick), F.lit(""))).alias("words"))
+    before = F.coalesce(F.sum(F.size("words")).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # max_lines rows at most
+    kept = lines.withColumn("before", before).where(F.col("before") < max_tokens)
+    return kept.select(F.col("p").alias("position"), F.posexplode("words").alias("i", "token"))
 
 
 def distinct_tokens(rows: DataFrame, text_column: str, position: Column) -> DataFrame:
     """(token, position): of tokens that differ in case only, the first."""
-    words = F.filter(F.split(text_column, "[^A-Za-z0-9]+"), lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$"))
-    at = rows.select(position.alias("p"), F.posexplode(words).alias("i", "token"))
-    first = at.groupBy(F.lower("token").alias("k")).agg(F.min(F.struct("p", "i", "token")).alias("f"))
-    return first.select("f.token", F.col("f.p").alias("position"))
-
-
-def templates(t: Column) -> Column:
-    """All patterns of one token, with their kind, for tokens long enough."""
-    n, half = F.length(t), F.floor(F.length(t) / 2).cast("int")
-    s = lambda p, d, ok: F.when(ok, F.struct(p.alias("pattern"), F.lit(d).alias("description")))
-    every = [
-        s(t, "exact", n >= 3), s(F.concat(F.lit("%"), t, F.lit("%")), "contains", n >= 3), s(F.concat(F.left(t, F.lit(3)), F.lit("%")), "prefix", n >= 3),
-        s(F.concat(F.lit("%"), F.right(t, F.lit(3))), "suffix", n >= 3), s(F.concat(F.lit("%"), F.left(t, half), F.lit("_"), F.substring(t, half + 2, n), F.lit("%")), "underscore", n >= 4),
-        s(F.concat(F.lit("%"), F.left(t, half), F.lit("%"), F.substring(t, half + 1, n), F.lit("%")), "split-mid", n >= 6), s(F.concat(F.left(t, F.lit(1)), F.lit("%"), F.right(t, F.lit(1))), "two-literals-short", n >= 3),
-        s(F.concat(F.lit("%"), F.left(t, F.lit(1)), F.lit("__"), F.substring(t, F.lit(4), n), F.lit("%")), "double-underscore", n >= 5), s(F.concat(F.lit("%"), F.left(t, F.lit(2)), F.lit("_%"), F.right(t, F.lit(2)), F.lit("%")), "short-gap", n >= 6),
+    at = rows.select(position.alias("p"), F.posexplode(words(F.col(text_column))).alias("i", "token"))
+    return first_of_each(at).select("token", F.col("p").alias("position"))
+
+
+def first_of_each(at: DataFrame) -> DataFrame:
+    """at(p, i, token): of tokens that differ in case only, the first."""
+    return at.groupBy(F.lower("token").alias("k")).agg(F.min(F.struct("p", "i", "token")).alias("f")).select("f.*")
+
+
+def shuffle_ranks(tokens: DataFrame, seed: int = SEED) -> DataFrame:
+    """(token, rn, n): distinct tokens(token) with their rank from 1 in shuffled order, and how many there are."""
+    ranked = rank_all(tokens.select("token", F.concat(shuffled(F.col("token"), seed), "token").alias("_h")), "_h")
+    return ranked.select("token", "rn", F.lit(tokens.count()).cast("long").alias("n"))
+
+
+def _templates(t: Column) -> list[Column]:
+    """What becomes of one token, in order; null where it's too short."""
+    n = F.length(t)
+    half, q1, q3 = (F.floor(n * k / d).cast("int") for k, d in ((1, 2), (1, 4), (3, 4)))
+    cut = lambda a, b: F.substring(t, a + 1, b - a)
+    a = F.lit("%")
+    made = [
+        (0, "exact", t), (0, "contains", F.concat(a, t, a)), (0, "prefix", F.concat(t, a)), (0, "suffix", F.concat(a, t)),
+        (5, "underscore", F.concat(a, F.left(t, half), F.lit("_"), cut(half + 1, n), a)), (5, "split-mid", F.concat(F.left(t, half), a, cut(half, n))),
+        (8, "two-literal-short", F.concat(a, F.left(t, q1), a, cut(q3, n), a)), (8, "double-underscore", F.concat(F.left(t, q1), F.lit("_"), cut(q1 + 1, q3), F.lit("_"), cut(q3 + 1, n))),
+        (4, "short-gap", F.concat(a, F.left(t, F.lit(2)), F.lit("_"), F.right(t, F.lit(2)), a)),
     ]
-    return F.filter(F.array(*every), lambda x: x.isNotNull())
+    return [F.when(n >= least, F.struct(F.lit(0).alias("part"), F.col("rn"), F.lit(k).alias("k"), p.alias("pattern"), F.concat(F.lit(f"{name}:"), t).alias("description"))) for k, (least, name, p) in enumerate(made)]
 
 
-def generate_patterns(tokens: DataFrame) -> DataFrame:
-    """(pattern, description) of all templates of tokens(token), then of the twenty most frequent first letters(token, n)."""
-    whole = tokens.select(F.explode(templates(F.col("token"))).alias("p")).select("p.*").distinct()
-    first = tokens.groupBy(F.lower(F.left("token", F.lit(1))).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(20)
-    single = F.array(F.struct(F.concat(F.lit("%"), "c", F.lit("%")).alias("pattern"), F.lit("single").alias("description")), F.struct(F.concat(F.lit("_"), "c", F.lit("_%")).alias("pattern"), F.lit("single-gap").alias("description")))
-    return whole.unionByName(first.select(F.explode(single).alias("p")).select("p.*"))
+def _first_patterns(cells: DataFrame) -> DataFrame:
+    """(pattern, description, part, rn, k): of equal patterns the one made first."""
+    return cells.groupBy("pattern").agg(F.min(F.struct("part", "rn", "k", "description")).alias("f")).select("pattern", "f.description", "f.part", "f.rn", "f.k")
 
 
-def generate_pair_patterns(tokens: DataFrame) -> DataFrame:
-    """(pattern, description) of pairs of tokens(token), the first with the last and so on, in order.
+def template_patterns(ranked: DataFrame, single: int = 20) -> DataFrame:
+    """All templates of tokens(token, rn), then those of the first letters of the first `single`."""
+    t = F.col("token")
+    whole = ranked.select(F.explode(F.filter(F.array(*_templates(t)), lambda x: x.isNotNull())).alias("c")).select("c.*")
+    first = F.left(t, F.lit(1))
+    two = [("single-char-contains", F.concat(F.lit("%"), first, F.lit("%"))), ("underscore-heavy", F.concat(F.lit("_"), first, F.lit("_%")))]
+    cells = F.array(*[F.struct(F.lit(2).alias("part"), F.col("rn"), F.lit(k).alias("k"), p.alias("pattern"), F.concat(F.lit(f"{name}:"), t).alias("description")) for k, (name, p) in enumerate(two)])
+    return whole.unionByName(ranked.where(F.col("rn") <= single).select(F.explode(cells).alias("c")).select("c.*"))
+
+
+def pair_patterns(ranked: DataFrame, pairs: int | None = None) -> DataFrame:
+    """Templates of pairs of tokens(token, rn, n), the first with the last and so on: n // 2 of them, or `pairs` at most."""
+    x, y = ranked.select(F.col("token").alias("x"), "rn", "n"), ranked.select(F.col("token").alias("y"), (F.col("n") + 1 - F.col("rn")).alias("rn"))
+    both = x.where(F.col("rn") <= F.floor(F.col("n") / 2)).join(y, "rn")
+    both = both if pairs is None else both.where(F.col("rn") <= pairs)
+    a, b, any_ = F.col("x"), F.col("y"), F.lit("%")
+    made = [
+        ("two-literals", F.concat(any_, a, any_, b, any_)), ("bridge", F.concat(F.left(a, F.lit(3)), any_, F.right(b, F.lit(3)))),
+        ("short-bridge", F.concat(any_, F.left(a, F.lit(2)), F.lit("_"), F.right(b, F.lit(2)), any_)),
+    ]
+    cells = [F.struct(F.lit(1).alias("part"), F.col("rn"), F.lit(k).alias("k"), p.alias("pattern"), F.concat(F.lit(f"{name}:"), a, F.lit("+"), b).alias("description")) for k, (name, p) in enumerate(made)]
+    return both.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def generate_patterns(tokens: DataFrame, seed: int = SEED) -> DataFrame:
+    """(pattern, description) of the templates of all tokens(token), and of the first letters of the first twenty in shuffled order; of equal patterns the first."""
+    return _first_patterns(template_patterns(shuffle_ranks(tokens, seed))).select("pattern", "description")
+
+
+def generate_pair_patterns(tokens: DataFrame, seed: int = SEED) -> DataFrame:
+    """(pattern, description) of mirrored pairs of all tokens(token) in shuffled order; of equal patterns the first.
 
     Ranks come from a sort of distinct tokens by range and counts of the partitions, not from one partition.
     """
-    ranked = rank_all(tokens.select("token").distinct(), "token")
-    n = ranked.count()
-    x, y = ranked.select(F.col("token").alias("x"), "rn"), ranked.select(F.col("token").alias("y"), (F.lit(n + 1) - F.col("rn")).alias("rn"))
-    pairs = x.join(y, "rn").where("x < y")
-    s = lambda p, d: F.struct(p.alias("pattern"), F.lit(d).alias("description"))
-    made = F.array(
-        s(F.concat(F.lit("%"), "x", F.lit("%"), "y", F.lit("%")), "two-literals"), s(F.concat("x", F.lit("%"), "y"), "bridge"),
-        s(F.concat(F.left("x", F.lit(2)), F.lit("%"), F.right("y", F.lit(2))), "short-bridge"),
-    )
-    return pairs.select(F.explode(made).alias("p")).select("p.*").distinct()
+    return _first_patterns(pair_patterns(shuffle_ranks(tokens, seed))).select("pattern", "description")
 
 
 def rank_all(rows: DataFrame, column: str) -> DataFrame:
@@ -74,14 +121,29 @@ def rank_all(rows: DataFrame, column: str) -> DataFrame:
     return parts.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(*rows.columns, (F.col("_before") + F.col("_k")).alias("rn"))
 
 
-def stratified(patterns: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n patterns(pattern, description), as many simple as middling and complex ones, chosen by a hash in turn."""
+def autogenerated(tokens: DataFrame, max_patterns: int = MAX_PATTERNS, seed: int = SEED) -> DataFrame:
+    """(pattern, description, part, rn, k): templates, pairs and single letters of a base of max_patterns tokens(token), 20 at least, in shuffled order."""
+    base = tokens.select("token").orderBy(shuffled(F.col("token"), seed), "token").limit(max(20, max_patterns))
+    w = Window.orderBy(shuffled(F.col("token"), seed), "token")  # as many rows as the base has
+    base = base.select("token", F.row_number().over(w).cast("long").alias("rn"), F.count("*").over(Window.partitionBy()).alias("n"))
+    return _first_patterns(template_patterns(base).unionByName(pair_patterns(base, max_patterns // 6)))
+
+
+def stratified(patterns: DataFrame, max_patterns: int = MAX_PATTERNS, seed: int = SEED) -> DataFrame:
+    """(pattern, description, score, tier) of max_patterns of patterns(pattern, description, part, rn, k), in turn from the simplest third, the middle and the most complex,
+    each in shuffled order; all of them, if they are no more. Thirds are by place in the order of the score, then of making: n // 3 and 2 n // 3."""
     scored = patterns.withColumn("score", complexity(F.col("pattern")))
-    low, high = scored.agg(F.percentile_approx("score", [1 / 3, 2 / 3], F.lit(100_000))).first()[0] or (0, 0)
-    tier = F.when(F.col("score") <= low, 0).when(F.col("score") <= high, 1).otherwise(2)
-    tiered = scored.withColumn("tier", tier).withColumn("h", F.xxhash64("pattern", F.lit(seed)))
-    picked = tiered.withColumn("k", F.row_number().over(Window.partitionBy("tier").orderBy("h", "pattern")))
-    return picked.orderBy("k", "tier").limit(n).select("pattern", "description", "score", "tier")
+    placed = rank_all(scored.withColumn("_o", F.struct("score", "part", "rn", "k")).withColumnRenamed("rn", "_rn"), "_o")
+    n = patterns.count()
+    one = max(1, n // 3)
+    two = max(one + 1, 2 * n // 3)
+    tier = F.when(F.col("rn") <= one, 0).when(F.col("rn") <= two, 1).otherwise(2)
+    h = shuffled(F.col("pattern"), seed)
+    turn = F.row_number().over(Window.partitionBy("tier").orderBy("h", "pattern"))
+    rows = placed.select("pattern", "description", "score", tier.alias("tier"), h.alias("h"))
+    if n > max_patterns:
+        rows = rows.withColumn("turn", turn).where(F.col("turn") <= max_patterns).orderBy("turn", "tier").limit(max_patterns)
+    return rows.select("pattern", "description", "score", "tier")
 
 
 def merge_patterns(*sets: DataFrame) -> DataFrame:
@@ -93,38 +155,59 @@ def merge_patterns(*sets: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.min_by("description", F.struct("k", "description")).alias("description"))
 
 
-#: Lengths of a sweep.
-LENGTHS = (*range(1, 33), 40, 48, 56, 64, 80, 96, 112, 128, 160, 192)
-_VALID = "^[!-~]([ -~]*[!-~])?$"
+#: Lengths of a sweep, those of them for which a literal that doesn't occur is made, and the share of these that a sweep stays below.
+LENGTHS = (8, 12, 16, 20, 24, 28, *range(32, 145, 8), 150, *range(160, 200, 10), *range(200, 501, 20))
+NOMATCH_LENGTHS = (120, 260, 400, 500)
+NOMATCH_SHARE = 0.10
+#: Texts of letters of these kinds are changed by a digit, others by a token.
+SEQUENCES = ("dna", "protein")
+ATTEMPTS = 25
 
 
 def len_sweep_exists(rows: DataFrame, id_column: str, text_column: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """(n, literal): for each length a literal that occurs: the first run of printable ASCII without wildcards or outer space, of the row of the smallest id that has one."""
+    """(n, literal): for each length a literal that occurs: the first run of printable ASCII without wildcards or outer space, of the row of the smallest id that has one.
+    A length that no row has is left out."""
     fits = lambda n: F.regexp_extract(text_column, f"([!-$&-^`-~]{'[ -$&-^`-~]' + '{' + str(n - 2) + '}[!-$&-^`-~]' if n > 1 else ''})", 1)
-    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.nullif(fits(n), F.lit("")).alias("literal")) for n in lengths])
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.nullif(F.when(F.length(text_column) >= n, fits(n)), F.lit("")).alias("literal")) for n in lengths])
     found = rows.select(F.col(id_column).alias("id"), F.explode(cells).alias("c")).where("c.literal IS NOT NULL")
     return found.groupBy(F.col("c.n").alias("n")).agg(F.min_by("c.literal", "id").alias("literal"))
 
 
-def len_sweep_nomatch(literals: DataFrame, rows: DataFrame, text_column: str, attempts: int = 24) -> DataFrame:
-    """(n, literal): each literal(n, literal) with its middle character changed to the first of `attempts` letters with which it occurs in no text.
+def mutated(literal: str, kind: str, attempt: int) -> str:
+    """A literal with another middle: a digit in a sequence, else the token QZXJ, a digit, KQ, as far as it fits."""
+    n = len(literal)
+    if kind in SEQUENCES:
+        at, digit = n // 2, attempt % 10
+        return literal[:at] + str(digit if literal[at] != str(digit) else (attempt + 1) % 10) + literal[at + 1 :]
+    token = f"QZXJ{attempt % 10}KQ"
+    at = max(0, n // 2 - len(token) // 2)
+    return literal[:at] + token[: n - at] + literal[at + len(token) :]
+
+
+def len_sweep_nomatch(literals: DataFrame, rows: DataFrame, text_column: str, kind: str = "text", lengths: tuple[int, ...] = NOMATCH_LENGTHS) -> DataFrame:
+    """(n, literal): each of literals(n, literal) of the given lengths, changed by the first of ATTEMPTS that makes it occur in no text. An error, if none does.
 
     Literals are few, a row a length: they become one projection over the texts, which are read once.
     """
-    known = literals.orderBy("n").collect()
-    tries = []
-    for r in known:
-        m = len(r.literal) // 2
-        tries += [(r.n, k, r.literal[:m] + c + r.literal[m + 1 :]) for k, c in enumerate("~^QZXJKVWqzxjkvw@#$&*+<>="[:attempts])]
-    if not tries:
-        return literals
-    out = []
-    for i in range(0, len(tries), 200):
-        part = tries[i : i + 200]
-        seen = rows.agg(*[F.coalesce(F.max(F.col(text_column).contains(t)), F.lit(False)).alias(f"t{j}") for j, (_, _, t) in enumerate(part)])
-        cells = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(t).alias("literal"), F.col(f"t{j}").alias("seen")) for j, (n, k, t) in enumerate(part)])
-        out.append(seen.select(F.explode(cells).alias("c")).select("c.*"))
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.unionByName(o)
-    return whole.where("NOT seen").groupBy("n").agg(F.min_by("literal", "k").alias("literal"))
+    known = literals.where(F.col("n").isin(*lengths)).orderBy("n").collect()
+    tries = [(r.n, k, mutated(r.literal, kind, k)) for r in known for k in range(ATTEMPTS)]
+    chosen: dict[int, str] = {}
+    distinct = list(dict.fromkeys(t for _, _, t in tries))
+    if distinct:
+        seen = rows.agg(*[F.coalesce(F.max(F.col(text_column).contains(t)), F.lit(False)).alias(f"t{j}") for j, t in enumerate(distinct)]).first()
+        there = {t for j, t in enumerate(distinct) if seen[f"t{j}"]}
+        for n, _, t in tries:
+            if t not in there:
+                chosen.setdefault(n, t)
+    if lost := {r.n for r in known} - set(chosen):
+        raise ValueError(f"no literal of length {min(lost)} is absent from all texts")
+    return literals.sparkSession.createDataFrame(sorted(chosen.items()), "n int, literal string")
+
+
+def len_sweep_patterns(exists: DataFrame, nomatch: DataFrame, kind: str = "text") -> DataFrame:
+    """(pattern, description) of a sweep's literals(n, literal): those that occur and those that don't, which must stay below NOMATCH_SHARE."""
+    a, b = exists.count(), nomatch.count()
+    if b and b / (a + b) >= NOMATCH_SHARE:
+        raise ValueError(f"{b} of {a + b} literals don't occur: {NOMATCH_SHARE:.0%} or more")
+    told = lambda rows, mode: rows.select(F.concat(F.lit("%"), "literal", F.lit("%")).alias("pattern"), F.concat(F.lit(f"{kind}-len-{mode}|len="), F.col("n").cast("string")).alias("description"))
+    return told(exists, "exists").unionByName(told(nomatch, "nomatch"))

@@ -88,7 +88,7 @@ def _(spark, d):
     return patterns(spark).select("pattern", T.pattern_strategy(F.col("pattern")).alias("strategy"))
 
 
-@query("pattern_kind", f"""SELECT pattern, CASE WHEN NOT regexp_matches(pattern, '[%_]') THEN 'exact' WHEN regexp_full_match(pattern, '%[^%_]+%') THEN 'contains' ELSE 'wildcard' END AS kind FROM {_P}""")
+@query("pattern_kind", f"""SELECT pattern, CASE WHEN NOT regexp_matches(pattern, '[%_]') THEN 'exact' WHEN regexp_full_match(pattern, '%[^%_]*%') THEN 'contains' ELSE 'wildcard' END AS kind FROM {_P}""")
 def _(spark, d):
     return patterns(spark).select("pattern", T.pattern_kind(F.col("pattern")).alias("kind"))
 
@@ -178,58 +178,80 @@ def _(spark, d):
     return T.rarest_byte(spark.createDataFrame(_LITERALS, "literal string"))
 
 
-INDEXED = SMALL[:3]
-_GRAMS = f"""{corpus_sql(TEXTS[1:])}, grams AS (SELECT DISTINCT "table", row_id, unnest(list_transform(range(0, octet_length(encode(data)) - 2), lambda i: substr(hex(encode(data)), CAST(2 * i + 1 AS BIGINT), 6))) AS gram FROM corpus)"""
+_SUPPLIER = ("supplier.s_name", "supplier", "s_suppkey", "s_name")
+INDEXED = (*SMALL[:3], _SUPPLIER, TEXTS[1])
+_GRAMS = f"""{corpus_sql(TEXTS)}, grams AS (SELECT DISTINCT "table", row_id, unnest(list_transform(range(0, octet_length(encode(data)) - 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 6) AS INTEGER))) AS gram FROM (SELECT *, hex(encode(data)) AS h FROM corpus))"""
+
+
+def indexed(spark: SparkSession, sf_dir: str, kind: str, columns) -> tuple[DataFrame, DataFrame]:
+    """A corpus of the test tables and its index, which the first query of all that ask for it writes."""
+    jvm = spark.sparkContext._jvm
+    place = lambda t: jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+    told = sorted({t for _, t, _, _ in columns})
+    times = [place(t).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place(t)).getModificationTime() for t in told]
+    rows = corpus(spark, sf_dir, columns)
+    return rows, index.persisted(rows, kind, f"{sf_dir} {columns} {times}")
 
 
 @query("trigram_index", f'WITH {_GRAMS} SELECT gram, "table", row_id FROM grams')
 def _(spark, d):
-    return index.trigram_index(corpus(spark, d, TEXTS[1:]))
+    return indexed(spark, d, "trigram", TEXTS)[1]
 
 
-@query("trigram_candidates", f"""WITH {_GRAMS} SELECT "table", row_id FROM grams WHERE gram IN ('746865', '686572', '657265') GROUP BY ALL HAVING count(*) = 3""")
+@query("trigram_candidates", f"""WITH {_GRAMS} SELECT "table", row_id FROM grams WHERE gram IN ({0x746865}, {0x686572}, {0x657265}) GROUP BY ALL HAVING count(*) = 3""")
 def _(spark, d):
-    return index.trigram_candidates(index.trigram_index(corpus(spark, d, TEXTS[1:])), "there")
+    return index.trigram_candidates(indexed(spark, d, "trigram", TEXTS)[1], "there")
 
 
 @query("trigram_like", f'WITH {corpus_sql(TEXTS)} SELECT "table", row_id FROM corpus WHERE data LIKE \'%the%tion%\'')
 def _(spark, d):
-    rows = corpus(spark, d, TEXTS)
-    return index.trigram_like(rows, index.trigram_index(rows), "%the%tion%").select("table", "row_id")
+    return index.trigram_like(*indexed(spark, d, "trigram", TEXTS), "%the%tion%").select("table", "row_id")
 
 
-_SUFFIXES = f"""{corpus_sql(INDEXED)}, suffixes AS (SELECT "table", row_id, i AS position, substr(data, CAST(i + 1 AS BIGINT), {index.SUFFIX_BYTES}) AS suffix FROM (SELECT *, CAST(unnest(range(0, length(data))) AS INTEGER) AS i FROM corpus))"""
+_SUFFIXES = f"""{corpus_sql(INDEXED)}, hexed AS (SELECT "table", row_id, hex(encode(data)) AS h, CAST(unnest(range(0, octet_length(encode(data)))) AS INTEGER) AS i FROM corpus), suffixes AS (SELECT "table", row_id, i AS position, substr(h, CAST(2 * i + 1 AS BIGINT), {2 * index.SUFFIX_BYTES}) AS suffix FROM hexed)"""
 
 
 @query("suffix_index", f'WITH {_SUFFIXES} SELECT suffix, "table", row_id, position FROM suffixes')
 def _(spark, d):
-    return index.suffix_index(corpus(spark, d, INDEXED))
+    """Suffixes in hexadecimal, since DuckDB has no text with a character a byte."""
+    return indexed(spark, d, "suffix", INDEXED)[1].withColumn("suffix", F.hex(F.encode("suffix", "iso-8859-1")))
+
 
+def _hex(text: str) -> str:
+    return text.encode().hex().upper()
 
-@query("suffix_search", f"WITH {_SUFFIXES} SELECT \"table\", row_id, position FROM suffixes WHERE starts_with(suffix, 'bo')")
+
+@query("suffix_search", f"WITH {_SUFFIXES} SELECT \"table\", row_id, position FROM suffixes WHERE starts_with(suffix, '{_hex('bo')}')")
 def _(spark, d):
-    return index.suffix_search(index.suffix_index(corpus(spark, d, INDEXED)), "bo")
+    return index.suffix_search(indexed(spark, d, "suffix", INDEXED)[1], "bo")
 
 
-@query("suffix_search_wildcard", f"WITH {_SUFFIXES} SELECT \"table\", row_id, position FROM suffixes WHERE suffix LIKE 'b_l%'")
+@query("suffix_search_long", f"WITH {corpus_sql(INDEXED)}, l AS (SELECT left(data, 60) AS x FROM corpus WHERE \"table\" = 'conversations.text' ORDER BY row_id LIMIT 1) SELECT \"table\", row_id, CAST(octet_length(encode(split_part(data, x, 1))) AS INTEGER) AS position FROM corpus, l WHERE contains(data, x)")
 def _(spark, d):
-    return index.suffix_search_wildcard(index.suffix_index(corpus(spark, d, INDEXED)), "b_l")
+    """The beginning of the first conversation, longer than the index keeps."""
+    rows, suffixes = indexed(spark, d, "suffix", INDEXED)
+    literal = rows.where(F.col("table") == TEXTS[1][0]).orderBy("row_id").select(F.left("data", F.lit(60))).first()[0]
+    return index.suffix_search(suffixes, literal, rows)
+
+
+@query("suffix_search_wildcard", f"WITH {_SUFFIXES} SELECT \"table\", row_id, position FROM suffixes WHERE regexp_matches(suffix, '^{_hex('b')}..{_hex('l')}')")
+def _(spark, d):
+    return index.suffix_search_wildcard(indexed(spark, d, "suffix", INDEXED)[1], "b_l")
 
 
 @query("suffix_like", f"WITH {corpus_sql(INDEXED)} SELECT \"table\", row_id FROM corpus WHERE data LIKE '%e%ol_%'")
 def _(spark, d):
-    rows = corpus(spark, d, INDEXED)
-    return index.suffix_like(rows, index.suffix_index(rows), "%e%ol_%").select("table", "row_id")
+    return index.suffix_like(*indexed(spark, d, "suffix", INDEXED), "%e%ol_%", "char").select("table", "row_id")
 
 
-@query("selectivity_guard", f"WITH {_SUFFIXES}, l AS (SELECT * FROM {_LIT}) SELECT literal, count(suffix) AS n, count(suffix) > greatest({index.BROAD}, floor((SELECT count(*) FROM suffixes) * {index.BROAD_SHARE})) AS broad FROM l LEFT JOIN suffixes ON starts_with(suffix, literal) GROUP BY literal")
+@query("selectivity_guard", f"WITH {_SUFFIXES}, l AS (SELECT * FROM {_LIT}) SELECT literal, count(suffix) AS n, count(suffix) > greatest({index.BROAD}, floor((SELECT count(*) FROM suffixes) * {index.BROAD_SHARE})) AS broad FROM l LEFT JOIN suffixes ON starts_with(suffix, hex(encode(literal))) GROUP BY literal")
 def _(spark, d):
-    return index.selectivity(index.suffix_index(corpus(spark, d, INDEXED)), [x for (x,) in _LITERALS])
+    return index.selectivity(indexed(spark, d, "suffix", INDEXED)[1], [x for (x,) in _LITERALS])
 
 
 @query("rowset_intersect", f"WITH {corpus_sql(INDEXED)} SELECT \"table\", row_id FROM corpus WHERE contains(data, 'e') AND contains(data, 'bo')")
 def _(spark, d):
-    suffixes = index.suffix_index(corpus(spark, d, INDEXED))
+    suffixes = indexed(spark, d, "suffix", INDEXED)[1]
     return index.intersect([index.suffix_search(suffixes, "e"), index.suffix_search(suffixes, "bo")])
 
 
@@ -281,9 +303,24 @@ def _(spark, d):
     return files.limit_rows(corpus(spark, d, SMALL), 100)
 
 
-@query("limit_byte_budget", f'WITH {corpus_sql(SMALL)} SELECT "table", row_id, data FROM corpus QUALIFY sum(octet_length(encode(data))) OVER (PARTITION BY "table" ORDER BY row_id) <= 5000')
+_BUDGET = 60_000
+_RUNNING = "sum(octet_length(encode(data))) OVER (PARTITION BY \"table\" ORDER BY row_id)"
+
+
+def _budget_sql() -> str:
+    """Tables one after the other by name, each taking of what those before left."""
+    names = sorted(c[0] for c in SMALL)
+    parts, left = [], str(_BUDGET)
+    for k, name in enumerate(names):
+        parts.append(f"t{k} AS (SELECT \"table\", row_id, data, n FROM s WHERE \"table\" = '{name}' AND upto <= {left}), l{k} AS (SELECT {left} - coalesce(sum(n), 0) AS x FROM t{k})")
+        left = f"(SELECT x FROM l{k})"
+    return f"WITH {corpus_sql(SMALL)}, s AS (SELECT *, octet_length(encode(data)) AS n, {_RUNNING} AS upto FROM corpus), {', '.join(parts)} " + " UNION ALL ".join(f'SELECT "table", row_id, data FROM t{k}' for k in range(len(names)))
+
+
+@query("limit_byte_budget", _budget_sql())
 def _(spark, d):
-    return files.limit_bytes(corpus(spark, d, SMALL), 5000)
+    """One budget for all tables."""
+    return files.limit_bytes(corpus(spark, d, SMALL), _BUDGET)
 
 
 _NAMES = [("a.FASTA",), ("b.fa",), ("c.fna.txt",), ("d.faa",), ("e",), ("f.Fsa",), ("g.tbl",)]
@@ -322,9 +359,10 @@ def _(spark, d):
     return files.read_fasta(spark, _fasta(spark, d)).select("id", "desc", "data")
 
 
-@query("fasta_totals", f"SELECT count(*) AS entries, CAST(sum(octet_length(encode(data))) AS BIGINT) AS bytes FROM ({_PARTS})")
+@query("fasta_totals", f"SELECT count(*) AS entries, CAST(sum(octet_length(encode(data))) AS BIGINT) AS bytes, CAST(sum(octet_length(encode(id || \"desc\" || data)) + 7) AS BIGINT) AS raw_bytes FROM ({_PARTS})")
 def _(spark, d):
-    return files.totals(files.read_fasta(spark, _fasta(spark, d))).agg(F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"))
+    """Totals of all files; in each record, six bytes are of its header and its ends of lines."""
+    return files.fasta_totals(spark, _fasta(spark, d)).agg(F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"), F.sum("raw_bytes").alias("raw_bytes"))
 
 
 @query("fasta_subset", f"SELECT id FROM (SELECT id, sum(octet_length(encode(data))) OVER (ORDER BY CAST(id AS BIGINT)) AS b, octet_length(encode(data)) AS n FROM ({_PARTS})) WHERE b <= 900 OR b = n")
@@ -333,12 +371,14 @@ def _(spark, d):
     return files.subset_bytes(records.select(F.lit("part").alias("table"), F.col("id").cast("long").alias("row_id"), "id", "data"), 900).select("id")
 
 
-_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, trim(coalesce({c}, '')) AS data FROM part" for c in ("p_name", "p_type"))
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, trim(coalesce({x}, ''), ' ' || chr(9) || chr(10) || chr(13)) AS data FROM {t}" for c, x, t in (("p_name", "p_name", "part"), ("p_type", "p_type || chr(10) || p_brand", "part")))
 
 
 @query("src_delimited", f"SELECT name, data, count(*) AS n FROM ({_CELLS}) GROUP BY ALL")
 def _(spark, d):
-    path = written(spark, load(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "csv", header=True, sep="|", escape='"')
+    """Fields with newlines in them."""
+    kinds = F.concat("p_type", F.lit("\n"), "p_brand").alias("p_type")
+    path = written(spark, load(spark, d, "part").select("p_partkey", "p_name", "p_brand", kinds), "csv", header=True, sep="|", escape='"')
     rows = files.read_delimited(spark, path, [("p_name", 1), ("p_type", 3)], "|")
     return rows.groupBy(F.element_at(F.split("table", "[.]"), -1).alias("name"), "data").agg(F.count("*").alias("n"))
 

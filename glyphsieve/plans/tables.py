@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import quote
 from glyphsieve.operators import engine
+from glyphsieve.sources.tables import read_table
 
 #: Table of the corpus, file, row id (an expression of both dialects), text column.
 COLUMNS = (
@@ -17,11 +18,11 @@ COLUMNS = (
     ("documents.text", "documents", "doc_id", "text"), ("conversations.text", "conversations", "conv_id * 1000 + turn", "text"), ("pages.html", "pages", "page_id", "html"),
 )
 SMALL = tuple(c for c in COLUMNS if c[1] in ("part", "customer", "orders"))
-PATTERNS = ["%bolt%", "blue%", "%gear", "b%t", "ECONOMY", "%", "%the%ing%", "%a%e%i%o%", "BUILD%G", "%_PROM_%", "_-%", "%e_t%", "%re_d%on%", "%\\%", "%💩%", "1-URGENT"]
+PATTERNS = ["%bolt%", "blue%", "%gear", "b%t", "ECONOMY", "%", "%the%ing%", "%a%e%i%o%", "BUILD%G", "%_PROM_%", "_-%", "%e_t%", "%re_d%on%", "%\\%", "%💩%", "1-URGENT", "%%"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def corpus(spark: SparkSession, sf_dir: str, columns=COLUMNS) -> DataFrame:
@@ -43,13 +44,16 @@ def patterns_sql(patterns: list[str] = PATTERNS) -> str:
 
 
 _PATTERN = "CASE k % 4 WHEN 0 THEN concat('w', repeat('x', CAST(k % 23 AS INT)), CAST(k AS STRING)) WHEN 1 THEN concat('%', repeat('yz', CAST(k % 17 AS INT)), CAST(k AS STRING), '%') WHEN 2 THEN concat('a_%', CAST(k AS STRING)) ELSE concat(CAST(k AS STRING), '%b') END"
-_RESULTS = f"""SELECT concat('d', CAST(user_id % 4 AS STRING)) AS dataset, event_type AS algorithm, concat('t', CAST(user_id AS STRING)) AS `table`, {_PATTERN} AS pattern,
-  CAST(row_number() OVER (PARTITION BY event_type, user_id, props ORDER BY event_id) AS INT) AS run, CAST(value AS DECIMAL(18, 4)) AS duration, event_id % 50 = 0 AS skipped
+_TOLD = "CASE k % 5 WHEN 0 THEN concat('own-len-exists|len=', CAST(k % 13 * 16 + 4 AS STRING)) WHEN 1 THEN concat('own-len-nomatch|len=', CAST(k % 7 * 25 + 20 AS STRING)) WHEN 2 THEN '' ELSE concat('contains:', CAST(k AS STRING)) END"
+_NAMED = "CASE event_type WHEN 'click' THEN 'kmp' WHEN 'error' THEN 'fm' WHEN 'purchase' THEN 'trigram' WHEN 'signup' THEN 'std' ELSE 'bm' END"
+_RESULTS = f"""SELECT concat('d', CAST(user_id % 4 AS STRING)) AS dataset, {_NAMED} AS algorithm, k AS pattern_index, {_PATTERN} AS pattern, {_TOLD} AS pattern_desc, concat('t', CAST(user_id AS STRING)) AS `table`, 'text' AS file_type,
+  CAST(value AS DECIMAL(18, 4)) AS duration, CAST(event_id % 17 AS BIGINT) AS found_count, event_id % 50 = 0 AS skipped, CAST(user_id % 1000 + 1 AS BIGINT) AS table_rows, CAST(user_id % 97 AS DOUBLE) / 4 + 1.5 AS table_avg_len,
+  CAST(user_id % 97 * 3 + 5 AS BIGINT) AS table_max_len, CAST(row_number() OVER (PARTITION BY event_type, user_id, props ORDER BY event_id) AS INT) AS run
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM SOURCE)"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of `events` as a table of search timings: event_type is the algorithm, value the duration, user_id the table, props the pattern."""
+    """All of `events` as a table of search timings: event_type stands for the algorithm, value for the duration, user_id for the table, props for the pattern."""
     return spark.sql(_RESULTS.replace("SOURCE", "{events}"), events=load(spark, sf_dir, "events"))
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ def test_trigrams_and_suffixes(corpus):
     found = sorted((r.row_id, r.position) for r in index.suffix_search(suffixes, "ana").collect())
     assert found == [(4, 1), (4, 3), (5, 4)]
     assert sorted((r.row_id, r.position) for r in index.suffix_search_wildcard(suffixes, "b_n").collect()) == [(4, 0), (5, 0)]
+    assert sorted((r.row_id, r.position) for r in index.suffix_search_wildcard(suffixes, "a__lication", corpus, 8).collect()) == [(3, 0)]
+    with pytest.raises(ValueError):
+        index.suffix_search_wildcard(suffixes, "a__lication", keep=8)
     assert sorted((r.row_id, r.position) for r in index.suffix_search(suffixes, "application", corpus, 8).collect()) == [(3, 0)]
     with pytest.raises(ValueError):
         index.suffix_search(suffixes, "application", keep=8)
@@ -82,34 +86,95 @@ def test_predicates_work_on_streams(spark, tmp_path):
 
 
 def results(spark):
-    rows = [("d", a, f"t{t}", p, 1, d, a == "z") for t in range(2) for p, base in (("abc", 10), ("%abcd%", 20), ("a_%", 30)) for a, d in (("x", base + t), ("y", base + 2 * t), ("z", 1))]
-    return spark.createDataFrame(rows, "dataset string, algorithm string, table string, pattern string, run int, duration int, skipped boolean").withColumn("duration", F.col("duration").cast("decimal(18,4)"))
+    patterns = (("abc", "", 10), ("%abcd%", "own-len-nomatch|len=20", 20), ("a_%", "x", 30))
+    rows = [("d", a, f"t{t}", k, p, told, 1, d, a == "fm", 7, 2.5 + t, 9) for t in range(2) for k, (p, told, base) in enumerate(patterns) for a, d in (("bm", base + t), ("kmp", base + 2 * t), ("fm", 1))]
+    schema = "dataset string, algorithm string, table string, pattern_index int, pattern string, pattern_desc string, run int, duration int, skipped boolean, table_rows long, table_avg_len double, table_max_len long"
+    return spark.createDataFrame(rows, schema).withColumn("duration", F.col("duration").cast("decimal(18,4)"))
 
 
 def test_analytics(spark):
     r = results(spark)
-    assert [(x.algorithm, x.total, x.rank) for x in analytics.rank_by(r).orderBy("rank").collect()] == [("x", 123.0, 1), ("y", 126.0, 2)]
+    assert [(x.algorithm, x.total, x.rank) for x in analytics.rank_by(r).orderBy("rank").collect()] == [("bm", 123.0, 1), ("kmp", 126.0, 2)]
     one = {x.algorithm: x for x in analytics.summary(r, "algorithm").collect()}
-    assert (one["x"].n, one["x"].mean, one["x"].p95) == (6, 20.5, 31.0)
-    assert {(x.algorithm, x.wins) for x in analytics.win_rate(r).collect()} == {("x", 6)}  # ties go to the first name
-    assert {x.algorithm: round(x.percent, 6) for x in analytics.relative_to_best(r).collect()} == {"x": 0, "y": round((21 / 20.5 - 1) * 100, 6)}
-    assert {x.tier for x in analytics.algorithm_ratings(r).collect()} == {"S"}
-    buckets = {x.pattern: x.bucket for x in analytics.tercile_buckets(analytics.pattern_features(r)).collect()}
-    assert buckets == {"abc": "low", "a_%": "mid", "%abcd%": "high"}
-    assert {(x.low, x.algorithm) for x in analytics.range_winners(r).collect()} == {(1, "x"), (5, "x")}
+    assert (one["bm"].n, one["bm"].mean, one["bm"].p95) == (6, 20.5, 31.0)
+    assert {(x.algorithm, x.wins) for x in analytics.win_rate(r).collect()} == {("bm", 6)}  # ties go to the first name
+    assert {x.algorithm: round(x.percent, 6) for x in analytics.relative_to_best(r).collect()} == {"bm": 0, "kmp": round((21 / 20.5 - 1) * 100, 6)}
+    # medians at literal lengths 3, 20 and 1: 10.5, 20.5, 30.5 and 11, 21, 31
+    rated = {x.algorithm: x for x in analytics.algorithm_ratings(r).collect()}
+    assert (rated["bm"].tier, rated["bm"].mean_rank, rated["bm"].wins, rated["bm"].slowdown) == ("S", 1.0, 3, 1.0)
+    assert rated["kmp"].tier == "S" and rated["kmp"].mean_rank == 2.0 and abs(rated["kmp"].slowdown - (11 / 10.5 * 21 / 20.5 * 31 / 30.5) ** (1 / 3)) < 1e-12
+    # scores 3, 12 and 7 (twice two each): borders at places 3 and 7 of 12
+    assert {x.pattern: x.complexity_bucket for x in analytics.enriched(r).collect()} == {"abc": "low", "a_%": "medium", "%abcd%": "high"}
+    assert {x.table: x.data_bucket for x in analytics.with_data_bucket(r).collect()} == {"t0": "short", "t1": "mid"}
+    assert {(x.len_range, x.winner, x.winner_median, x.second) for x in analytics.range_winners(r).collect()} == {("<=8", "bm", 20.5, "kmp"), ("17-32", "bm", 20.5, "kmp")}
+    assert {x["mode"] for x in analytics.curve_by_length(r, "mode").where("literal_len = 20").collect()} == {"nomatch"}
+    cells = analytics.best_by_cell(r).collect()
+    assert len(cells) == 9 and sum(x.samples for x in cells) == 12 and {x.algorithm for x in cells} == {"bm", "-"}
+    assert analytics.length_correlation(r.where("pattern_index = 0")).select("r").distinct().collect()[0].r == 0.0
+
+
+def test_embedding_and_clusters(spark):
+    rng = random.Random(4)
+    schema = "dataset string, table string, pattern_index int, run int, pattern string, kind string, a double, b double, " + ", ".join(f"{m} double" for m in analytics.META)
+    rows = [("d" + str(i % 2), f"t{i % 3}", i, 1, "x", ("exact", "contains")[i % 2], rng.random() + 9 * (i % 4 == 0), rng.random(), *[rng.random() for _ in analytics.META]) for i in range(90)]
+    df = spark.createDataFrame([*rows, ("small", "t", 999, 1, "x", "exact", 1.0, 1.0, *[0.0] * 9)], schema)
+    got = analytics.dataset_clusters(df, ["a", "b"]).collect()
+    assert len(got) == 90 and {r.dataset for r in got} == {"d0", "d1"} and max(r.dataset_cluster for r in got) == 1
+    x = np.array([r[6:] for r in rows] + [[1.0, 1.0, *[0.0] * 9]])
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    for d in ("d0", "d1"):
+        own = x[[i for i, r in enumerate(rows) if r[0] == d]]
+        axes = np.linalg.svd(own - own.mean(0))[2][:2]
+        mine = np.array([r.embedding2.toArray() for r in sorted(got, key=lambda r: r.pattern_index) if r.dataset == d])
+        assert np.allclose(np.abs(mine), np.abs(own @ axes.T), atol=1e-8)
+    results = spark.createDataFrame([(r[0], r[1], r[2], 1, a, 1 + (r[2] + k) % 2, False) for r in rows for k, a in enumerate(("a", "b"))], "dataset string, table string, pattern_index int, run int, algorithm string, duration int, skipped boolean")
+    told = analytics.cluster_summary(analytics.dataset_clusters(df, ["a", "b"]), results).collect()
+    for t in told:
+        own = [r for r in got if r.dataset == t.dataset and r.dataset_cluster == t.cluster]
+        tables = sorted(((sum(r.table == x for r in own), x) for x in {r.table for r in own}), key=lambda y: (-y[0], y[1]))
+        assert t.n == len(own) and t.tables == ", ".join(f"{x}:{n}" for n, x in tables[:3])
+        assert t.winner_rate == 1.0 and t.winner == ("a" if t.dataset == "d0" else "b") and t.kind_rate == 1.0
+    assert sum(t.n for t in told) == 90
+
+
+def made_of(tok):
+    """What the definition makes of one token."""
+    n, mid, q1, q3 = len(tok), len(tok) // 2, len(tok) // 4, 3 * len(tok) // 4
+    yield from (tok, f"%{tok}%", f"{tok}%", f"%{tok}")
+    if n >= 5:
+        yield from (f"%{tok[:mid]}_{tok[mid + 1:]}%", f"{tok[:mid]}%{tok[mid:]}")
+    if n >= 8:
+        yield from (f"%{tok[:q1]}%{tok[q3:]}%", f"{tok[:q1]}_{tok[q1 + 1:q3]}_{tok[q3 + 1:]}")
+    if n >= 4:
+        yield f"%{tok[:2]}_{tok[-2:]}%"
 
 
 def test_generated_patterns_match_their_tokens(spark):
     df = spark.createDataFrame([(1, "Alpha beta-gamma 123 alpha ab x99 delta9delta"), (2, None), (3, "")], "id int, t string")
-    tokens = patterngen.tokenize(df, "t")
-    assert {r.token: r.n for r in tokens.collect()} == {"Alpha": 1, "beta": 1, "gamma": 1, "alpha": 1, "x99": 1, "delta9delta": 1}
-    assert {r.token for r in patterngen.distinct_tokens(df, "t", F.col("id")).collect()} == {"Alpha", "beta", "gamma", "x99", "delta9delta"}
-    for r in patterngen.generate_patterns(tokens).collect():
-        text = spark.createDataFrame([(t,) for t in ("Alpha", "beta", "gamma", "alpha", "x99", "delta9delta", "xAlpha y")], "t string")
-        assert text.where(like(F.col("t"), r.pattern)).count() >= (r.description != "single-gap"), r
-        break
+    assert {r.token: r.n for r in patterngen.tokenize(df, "t").collect()} == {"Alpha": 1, "beta": 1, "gamma": 1, "alpha": 1, "x99": 1, "delta9delta": 1}
+    tokens = patterngen.distinct_tokens(df, "t", F.col("id"))
+    names = {r.token for r in tokens.collect()}
+    assert names == {"Alpha", "beta", "gamma", "x99", "delta9delta"}
+    made = {r.pattern: r.description for r in patterngen.generate_patterns(tokens).collect()}
+    assert set(made) == {p for t in names for p in made_of(t)} | {x for t in names for x in (f"%{t[0]}%", f"_{t[0]}_%")}
+    hits = spark.createDataFrame([(t,) for t in names], "t string").select("t", *[like(F.col("t"), p).alias(f"p{k}") for k, p in enumerate(made)]).collect()
+    for k, (p, told) in enumerate(made.items()):
+        kind, _, token = told.partition(":")
+        if kind not in ("underscore-heavy", "short-gap"):  # these need not match
+            assert next(r for r in hits if r.t == token)[f"p{k}"], (p, told)
     pairs = patterngen.generate_pair_patterns(tokens).collect()
-    assert len(pairs) == 9 and any(p.description == "bridge" for p in pairs)
+    assert len(pairs) == 6 and {p.description.partition(":")[0] for p in pairs} == {"two-literals", "bridge", "short-bridge"}
+    few = patterngen.stratified(patterngen.autogenerated(tokens, 12), 12).collect()
+    assert len(few) == 12 and [sum(r.tier == t for r in few) for t in range(3)] == [4, 4, 4]
+    every = patterngen.autogenerated(tokens, 200)
+    assert patterngen.stratified(every, 200).count() == every.count() == len({*made, *[p.pattern for p in pairs]})
+
+
+def test_sampled_tokens(spark):
+    df = spark.createDataFrame([(k, f"one{k} two{k}", f"three{k}", None) for k in range(50)], "id int, a string, b string, c string")
+    got = patterngen.sample_tokens(df, F.col("id"), ["a", "b", "c"], 30, 20).collect()
+    by = {k: [r.token for r in got if r.position == k] for k in range(50)}
+    assert all(x in ([], [f"one{k}", f"two{k}"], [f"three{k}"]) for k, x in by.items()) and 20 <= len(got) <= 21 and max(r.position for r in got) < 30
 
 
 def test_ranks_over_partitions(spark):
@@ -124,5 +189,24 @@ def test_length_sweeps(spark):
     got = {r.n: r.literal for r in exists.collect()}
     assert set(got) == {1, 4, 10} and all(len(v) == n and not re.search("[%_]", v) for n, v in got.items())
     assert all(df.where(F.col("t").contains(v)).count() for v in got.values())
-    none = {r.n: r.literal for r in patterngen.len_sweep_nomatch(exists, df, "t").collect()}
-    assert set(none) == {1, 4, 10} and not any(df.where(F.col("t").contains(v)).count() for v in none.values())
+    none = {r.n: r.literal for r in patterngen.len_sweep_nomatch(exists, df, "t", lengths=(4, 10)).collect()}
+    assert set(none) == {4, 10} and not any(df.where(F.col("t").contains(v)).count() for v in none.values())
+    assert patterngen.mutated("ACGTACGT", "dna", 3) == "ACGT3CGT" and patterngen.mutated("ACGT3CGT", "dna", 3) == "ACGT4CGT" and patterngen.mutated("abcdefghijkl", "text", 12) == "abcQZXJ2KQkl"
+    with pytest.raises(ValueError, match="don't occur"):
+        patterngen.len_sweep_patterns(exists, exists)
+    there = spark.createDataFrame([(4, "blue")], "n int, literal string")
+    with pytest.raises(ValueError, match="absent"):
+        patterngen.len_sweep_nomatch(there, spark.createDataFrame([(" ".join(patterngen.mutated("blue", "text", k) for k in range(10)),)], "t string"), "t", lengths=(4,))
+
+
+def test_persisted_indexes(spark, corpus, tmp_path):
+    first = index.persisted(corpus, "trigram", str(tmp_path))
+    again = index.persisted(corpus.where("false"), "trigram", str(tmp_path))  # opened, not built
+    assert first.count() == again.count() > 0
+    suffixes = index.persisted(corpus, "suffix", str(tmp_path))
+    lookup = index.SuffixLookup(suffixes, corpus)
+    assert lookup.count("ana") == 3 and not lookup.broad("ana")
+    for p in PATTERNS:
+        assert ids(index.trigram_like(corpus, again, p)) == ids(index.suffix_like(corpus, lookup, p)) == ids(engine.execute(corpus, p)), p
+    plan = index.suffix_search(suffixes, "ana")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith" in plan and "GreaterThanOrEqual" in plan
