@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphsieve.llm import bpe, decontaminate, line_dedup, minhash_dedup, quality_rules
 from glyphsieve.llm._common import materialise
+from glyphsieve.sources.tables import read_table
 
 
 def keep_good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +19,8 @@ def keep_good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, of whatever length, that stand, but for two edits, earlier in the corpus; the shortest must be equal."""
-    return line_dedup.drop_repeated_lines(docs, min_chars=line_dedup.THRESHOLD + 1, short=True)
+    """Documents without lines that stand, but for two edits, earlier in the corpus; short ones must be nearer, the shortest equal."""
+    return line_dedup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
