@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import text_batches
+from glyphsieve.sources.tables import read_table
 
 #: What header lines hold, by version.
 FIELDS = {
@@ -229,7 +230,7 @@ def pages_as_arc(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All WARC records of the archived pages but the files' own; what depends on how pages were cut into files is left out."""
-    records = to_warc(pages_as_arc(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    records = to_warc(pages_as_arc(read_table(spark, sf_dir, "pages")))
     return records.where("warc_type IS DISTINCT FROM 'warcinfo'").select(
         "warc_type", "warc_record_id", "warc_date", "warc_target_uri", "content_type", "content_length", "http_status", "block_digest", "payload_digest", "error"
     )

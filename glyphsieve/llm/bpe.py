@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from glyphsieve.llm._common import text_batches
+from glyphsieve.sources.tables import read_table
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -318,4 +319,4 @@ def decode(encoded: DataFrame, path: str = f"{TOKENIZERS}/{RANKS}") -> DataFrame
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "exact")
+    return encode(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "ids", "n_tokens", "exact")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from glyphsieve.llm._common import share, shared, text_batches
 from glyphsieve.llm._words import WORD, bytes_of, char_index, offsets_of, words
 from glyphsieve.llm.fm_index import FMIndex
+from glyphsieve.sources.tables import read_table
 
 #: Words of a phrase: every run of so many of an item. An item of fewer words is one phrase; of fewer than MIN_WORDS, too common to tell from clean prose.
 PHRASE_WORDS = 8
@@ -179,5 +180,5 @@ FROM islands JOIN docs USING (rid)"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -2,9 +2,12 @@
 
 Two lines within `threshold` edits share, by pigeonhole, one of the threshold + 1 segments of the shorter one, at nearly the same place. Every distinct line
 is indexed under the hashes of its own segments and probes with those of its substrings that can match a segment of a line of each allowed length (the
-multi-match-aware choice of starts). Lines that meet under a hash are candidates, and a banded bit-parallel edit distance verifies them.
+multi-match-aware choice of starts). Lines that meet under a hash, and whose pairs of characters are so nearly the same that they can be near, are candidates, and a
+banded bit-parallel edit distance verifies them. How many edits two lines may be apart follows from the shorter one's length: CHARS_PER_EDIT characters for
+each, THRESHOLD at most. So the shortest lines must be equal, which needs no candidates.
 
-What is shuffled: 16 bytes for each of some 12 keys a distinct line (threshold 2), never the text; texts travel for candidates only.
+What is shuffled: 24 bytes for each of some 12 keys a distinct line (threshold 2), never the text; texts travel for candidates only. Lines under one key are
+compared in blocks of BLOCK, so that a key of however many lines is the work of many tasks, each of bounded memory.
 """
 
 from __future__ import annotations
@@ -14,15 +17,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import fresh, materialise, small_side
 from glyphsieve.llm._words import Prefix, mix
+from glyphsieve.sources.tables import read_table
 
 THRESHOLD = 2
-#: Shorter lines stay out unless they are asked for: two edits would join unlike ones, and brief lines repeat in clean prose.
-MIN_CHARS = 16
+CHARS_PER_EDIT = 8
+#: Lines of a key that are compared with one another, or with so many others, in one place.
+BLOCK = 4096
 _PAIRS_AT_ONCE = 1 << 20
 _CELLS_AT_ONCE = 1 << 21
 
@@ -61,6 +66,22 @@ def segment_keys(data: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple
     return np.concatenate(keys), np.concatenate(rows)
 
 
+#: Bits of parities() that an edit changes at most: of two neighbouring pairs of characters, before and after.
+_BITS_AN_EDIT = 4
+
+
+def parities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each string 64 bits, each of which tells whether pairs of characters of one class occur an odd number of times."""
+    out, n = np.zeros(len(offsets) - 1, np.uint64), np.diff(offsets)
+    some = np.flatnonzero(n > 1)
+    if len(some):
+        one = np.uint64(1) << (mix((data[:-1].astype(np.uint64) << np.uint64(32)) | data[1:]) & np.uint64(63))
+        last = offsets[1:-1][(n[:-1] > 0) & (offsets[1:-1] < len(data))] - 1
+        one[last] = 0  # the pair across two strings
+        out[some] = np.bitwise_xor.reduceat(one, offsets[:-1][some])
+    return out
+
+
 def _keys_of_batches(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = batch.column(0).to_numpy()
@@ -68,39 +89,46 @@ def _keys_of_batches(threshold: int, batches: Iterator[pa.RecordBatch]) -> Itera
         batch = batch.take(pa.array(first)) if len(first) < len(h) else batch
         data, offsets = codes(batch.column(1))
         key, row = segment_keys(data, offsets, threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column(0).to_numpy()[row])], names=["key", "h"])
-
-
-def all_rows(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
-    """The columns of a whole partition."""
-    got = list(batches)
-    return [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) if got else np.zeros(0, np.int64) for c in range(columns)]
-
-
-def _pairs_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, h = all_rows(batches, 2)
-    order = np.lexsort((h, key))
-    key, h = key[order], h[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-    key, h = key[new], h[new]
-    group = key >> 1
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-    number = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    indexed = np.flatnonzero((key & 1 == 1) & (np.diff(edge)[number] > 1))
-    low, count = edge[number[indexed]], np.diff(edge)[number[indexed]]
-    done = np.zeros(len(indexed) + 1, np.int64)
-    np.cumsum(count, out=done[1:])
-    i = 0
-    while i < len(indexed):
-        j = max(i + 1, int(np.searchsorted(done, done[i] + _PAIRS_AT_ONCE, side="right")) - 1)
-        of = np.repeat(np.arange(i, j), count[i:j])
-        a, b = h[indexed[of]], h[low[of] + np.arange(len(of)) - (done[of] - done[i])]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = a < b
-        pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-        i = j
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, batch.column(0).to_numpy()[row], parities(data, offsets).view(np.int64)[row])], names=["key", "h", "bits"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches in order of their first `keys` columns, in parts that never divide rows that agree in these."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
+        n = len(held[0])
+        same = np.ones(n, bool)
+        for k in range(keys):
+            same &= held[k] == held[k][-1] if n else True
+        cut = n - int(np.argmin(same[::-1])) if n and not same.all() else 0
+        if cut:
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _pairs_of_keys(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines that may be near, of batches(group, p, q, key, h, bits, block) in order of (group, p, q): within a block, if p is q, else across the two."""
+    for group, p, q, key, h, bits, block in whole_groups(batches, 3):
+        edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
+        number = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        indexed = np.flatnonzero((key & 1 == 1) & (np.diff(edge)[number] > 1))
+        low, count = edge[number[indexed]], np.diff(edge)[number[indexed]]
+        done = np.zeros(len(indexed) + 1, np.int64)
+        np.cumsum(count, out=done[1:])
+        bits, i = bits.view(np.uint64), 0
+        while i < len(indexed):
+            j = max(i + 1, int(np.searchsorted(done, done[i] + _PAIRS_AT_ONCE, side="right")) - 1)
+            x = indexed[np.repeat(np.arange(i, j), count[i:j])]
+            y = np.repeat(low[i:j] - done[i:j] + done[i], count[i:j]) + np.arange(len(x))
+            keep = (np.bitwise_count(bits[x] ^ bits[y]) <= _BITS_AN_EDIT * threshold) & (h[x] != h[y]) & ((p[x] == q[x]) | (block[x] != block[y]))
+            a, b = h[x[keep]], h[y[keep]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            i = j
 
 
 def bounded_distances(left: list[str], right: list[str], limit: int) -> np.ndarray:
@@ -185,47 +213,56 @@ def _banded(pattern: list[str], text: list[str], t: int) -> np.ndarray:
     return np.minimum(distance, t + 1)
 
 
-def _verify(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(threshold: int, per_edit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        d = bounded_distances(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
-        ok = np.flatnonzero(d <= threshold)
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        d = bounded_distances(left, right, threshold)
+        most = np.array([min(threshold, min(len(x), len(y)) // per_edit) for x, y in zip(left, right)], np.int64)
+        ok = np.flatnonzero(d <= most)
         kept = batch.take(pa.array(ok))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(d[ok].astype(np.int32))], names=["a", "b", "distance"])
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    one = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return one.where((F.length("line") >= min_chars) & (F.trim("line") != "")).select("doc_id", "line_no", F.xxhash64("line").alias("h"), "line")
-
-
-def edit_join(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """All pairs (a < b, distance) of the hashes `h` of distinct lines that are 1 to threshold edits apart. lines: h, line; equal lines have equal hashes.
-
-    Every line must be longer than threshold characters."""
-    keys = lines.select("h", "line").mapInArrow(partial(_keys_of_batches, threshold), "key long, h long")
-    pairs = keys.repartition(F.shiftright("key", 1)).mapInArrow(_pairs_of_keys, "a long, b long").distinct()
-    pairs = materialise(pairs)
+def _lines(docs: DataFrame) -> DataFrame:
+    one = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return one.where(F.trim("line") != "").select("doc_id", "line_no", F.xxhash64("line").alias("h"), "line")
+
+
+def edit_join(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """All pairs (a < b, distance) of the hashes `h` of distinct lines that are 1 to threshold edits apart, and no more than one for every per_edit characters of the
+    shorter line. lines: h, line; equal lines have equal hashes."""
+    keys = lines.where(F.length("line") >= per_edit).select("h", "line").mapInArrow(partial(_keys_of_batches, threshold), "key long, h long, bits long")
+    group = Window.partitionBy("group")
+    keys = keys.select(F.shiftright("key", 1).alias("group"), "key", "h", "bits")
+    # counts and places within a key come from a sort that spills; keys of a single line go
+    met = keys.select("*", F.row_number().over(group.orderBy("h", "key")).alias("place"), F.count("*").over(group).alias("n")).where("n > 1")
+    met = materialise(met.select("group", "key", "h", "bits", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))
+    rows = met.select("group", F.explode(others).alias("o"), "key", "h", "bits", "block").select("group", "o.p", "o.q", "key", "h", "bits", "block")
+    rows = rows.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+    pairs = materialise(rows.mapInArrow(partial(_pairs_of_keys, threshold), "a long, b long").distinct())
     seen = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = lines.join(small_side(seen, 2 * pairs.count(), 24), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     texts = materialise(texts)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("left")), "a")
     both = both.join(texts.select(F.col("h").alias("b"), F.col("line").alias("right")), "b").select("a", "b", "left", "right")
-    return both.mapInArrow(partial(_verify, threshold), "a long, b long, distance int")
+    return both.mapInArrow(partial(_verify, threshold, per_edit), "a long, b long, distance int")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """Occurrences of lines within threshold edits of an earlier line: doc_id, line_no, first_doc_id, first_line_no (the earliest such line), distance.
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """Occurrences of lines near an earlier line: doc_id, line_no, first_doc_id, first_line_no (the earliest such line), distance.
 
-    Earlier means a smaller (doc_id, line_no), whether or not that line is itself a repeat. line_no counts from 0. Lines of fewer than min_chars characters
-    repeat equal ones only, if `short`, and else take no part; nor do blank lines, and documents without id or text. Rows with the same doc_id are one document: lines at the same place don't repeat each other.
-    Other columns are ignored. Lines count whole, whatever their length.
+    Lines are near if they are equal, or as many edits apart as threshold allows and the shorter one has per_edit characters for: with 2 and 8, lines of fewer than 8
+    characters must be equal, of fewer than 16 may differ by one edit, others by two. Every line that isn't blank takes part, whatever its length, and counts whole.
+    Earlier means a smaller (doc_id, line_no), whether or not that line is itself a repeat. line_no counts from 0. Documents without id or text have no lines. Rows
+    with the same doc_id are one document: lines at the same place don't repeat each other. Other columns are ignored; an empty table has no repeats.
     """
-    if min_chars <= threshold:
-        raise ValueError("min_chars must be greater than threshold")
-    lines = _lines(docs, 1 if short else min_chars)
+    if per_edit <= threshold:
+        raise ValueError("per_edit must be greater than threshold")
+    lines = _lines(docs)
     spots = materialise(lines.select("h", F.struct("doc_id", "line_no").alias("spot")).distinct())
     firsts = spots.groupBy("h").agg(F.min("spot").alias("first"))
-    pairs = edit_join(lines.where(F.length("line") >= min_chars), threshold)
+    pairs = edit_join(lines, threshold, per_edit)
     there, back = (F.struct(F.col(x).alias("h"), F.col(y).alias("other"), "distance") for x, y in ("ab", "ba"))
     both = pairs.select(F.explode(F.array(there, back)).alias("p")).select("p.*")
     both = both.join(firsts, "h").withColumnRenamed("first", "own").join(firsts.withColumnRenamed("h", "other"), "other")
@@ -237,25 +274,28 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return found.select("doc_id", "line_no", F.col("by.first.doc_id").alias("first_doc_id"), F.col("by.first.line_no").alias("first_line_no"), F.col("by.distance").alias("distance"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs without the lines that repeated_lines() finds: the same columns, with text (and n_chars, if there) of what is left.
 
-    A document of which no line is left goes: all of it stands elsewhere. Documents without repeats, id or text pass unchanged; so does an empty table.
+    A document of which no line is left goes: all of it stands elsewhere. Documents without repeats, id or text pass unchanged; so does an empty table. Columns are
+    known by name whatever its case.
     """
     numbers, kept, key = fresh(docs, "gs_numbers"), fresh(docs, "gs_left"), fresh(docs, "gs_doc_id")
-    gone = repeated_lines(docs, threshold, min_chars, short).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(numbers))
+    gone = repeated_lines(docs, threshold, per_edit).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(numbers))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(numbers, i))
+    # what is in an array that a function's variable stands for is split once, and not for each line
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    left = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform(stay(lines), lambda i: F.get(lines, i))), F.lit(0))
     cut = F.when(F.col(numbers).isNotNull(), F.array_join(left, "\n"))
     joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(cut)).alias(kept))
     joined = joined.where(F.col(kept).isNull() | (F.trim(F.regexp_replace(kept, "\n", "")) != ""))
     new = {"text": F.coalesce(F.col(kept), F.col("text"))}
-    if "n_chars" in docs.columns:
+    if "n_chars" in {c.lower() for c in docs.columns}:
         new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return joined.select(*[new.get(c.lower(), F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
-def oracle(threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, source: str = "documents") -> str:
+def oracle(threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT, source: str = "documents") -> str:
     """DuckDB SQL for repeated_lines(documents): compares any two lines of nearly the same length.
 
     DuckDB's levenshtein counts bytes, so each character outside ASCII first becomes a control character of its own (there are 30 for them).
@@ -263,24 +303,18 @@ def oracle(threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, source: str =
     return f"""
 WITH raw AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM {source} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-spots AS (SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, l FROM raw WHERE length(l) >= {min_chars} AND trim(l) <> ''),
+spots AS (SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, l FROM raw WHERE trim(l) <> ''),
 other AS (SELECT DISTINCT unnest(string_split(l, '')) AS c FROM spots),
 names AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS a, coalesce(string_agg(chr(CAST(k + CASE WHEN k < 9 THEN 0 ELSE 2 END AS INTEGER)), '' ORDER BY c), '') AS b
   FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM other WHERE unicode(c) > 127)),
 firsts AS (SELECT l, translate(l, any_value(a), any_value(b)) AS t, length(l) AS n, min((doc_id, line_no)) AS first FROM spots, names GROUP BY l),
 near AS (SELECT l, min((first, distance)) AS near FROM (
-  SELECT x.l, y.first, levenshtein(x.t, y.t) AS distance FROM firsts x JOIN firsts y ON y.n BETWEEN x.n - {threshold} AND x.n + {threshold} AND y.first < x.first)
-  WHERE distance <= {threshold} GROUP BY l),
+  SELECT x.l, y.first, levenshtein(x.t, y.t) AS distance, least({threshold}, least(x.n, y.n) // {per_edit}) AS most FROM firsts x JOIN firsts y ON y.n BETWEEN x.n - {threshold} AND x.n + {threshold} AND x.n >= {per_edit} AND y.n >= {per_edit} AND y.first < x.first)
+  WHERE distance <= most GROUP BY l),
 found AS (SELECT s.doc_id, s.line_no, coalesce(near.near[1], firsts.first) AS f, coalesce(near.near[2], 0) AS distance
   FROM spots s JOIN firsts USING (l) LEFT JOIN near USING (l) WHERE near.near IS NOT NULL OR firsts.first < (s.doc_id, s.line_no))
 SELECT doc_id, line_no, f[1] AS first_doc_id, f[2] AS first_line_no, CAST(distance AS INTEGER) AS distance FROM found"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-
-def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query() over lines of every length: the edit join takes all that are longer than THRESHOLD, and shorter ones repeat equal ones."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeated_lines(docs, min_chars=THRESHOLD + 1, short=True)
+    return repeated_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))

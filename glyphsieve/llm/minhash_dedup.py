@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from glyphsieve.llm._common import fresh, materialise, text_batches
 from glyphsieve.llm._words import mix, words
 from glyphsieve.llm.components import components
+from glyphsieve.sources.tables import read_table
 
 HASHES = 72
 CHUNK = 6
@@ -213,4 +214,4 @@ def drop_near_duplicates(docs: DataFrame, limit: int = MAX_DISTANCE) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import fresh, materialise, small_side
+from glyphsieve.sources.tables import read_table
 
 #: Kind and pattern of entities; earlier ones win where both match.
 KINDS = {
@@ -164,4 +165,4 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return sanitise(read_table(spark, sf_dir, "documents", "doc_id", "text"))

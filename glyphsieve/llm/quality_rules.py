@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import fresh
+from glyphsieve.sources.tables import read_table
 
 #: Runs of symbols that prose doesn't have, runs of shouting, separators of menus, ends of sentences.
 SYMBOLS = "[#%&$*~^=_<>{}@+]{3,}"
@@ -123,5 +124,5 @@ FROM joined j JOIN totals t USING (rid) JOIN docs d USING (rid) WHERE j.keeps >=
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     return clean_lines(docs).select("doc_id", "text", "n_chars", "lines_total", "lines_removed")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import fresh, materialise, small_side
+from glyphsieve.sources.tables import read_table
 
 #: A candidate is a run of these characters, of MIN_CHARS or more, with a digit or a change of case in it.
 ALPHABET = "A-Za-z0-9_+/=.~-"
@@ -185,4 +186,4 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return scan(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))

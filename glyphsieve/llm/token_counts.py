@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glyphsieve.llm._common import text_batches
+from glyphsieve.sources.tables import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -180,4 +181,4 @@ def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens")
+    return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_tokens")

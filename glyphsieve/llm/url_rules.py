@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.llm._common import materialise, small_side
+from glyphsieve.sources.tables import read_table
 
 BAD = "label:bad"
 MAX_TERMS = 3
@@ -129,7 +130,7 @@ def flagged(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
     rules = materialise(mine_rules(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return flagged(pages, rules)
 

@@ -27,21 +27,52 @@ def test_distance_equals_brute_force(limit):
     assert L.bounded_distances(left, right, limit).tolist() == expected
 
 
+def candidates(lines, threshold, block=1 << 30):
+    """The pairs of lines that the join would verify, with keys in blocks of so many lines."""
+    data, offsets = L.codes(pa.array(lines))
+    key, row = L.segment_keys(data, offsets, threshold)
+    bits = L.parities(data, offsets).view(np.int64)[row]
+    groups = {}
+    for k, h, b in sorted(zip((key >> 1).tolist(), row.tolist(), zip(key.tolist(), bits.tolist()))):
+        groups.setdefault(k, []).append((h, *b))
+    rows = []
+    for g, members in groups.items():
+        n = -(-len(members) // block)
+        rows += [(g, min(i // block, o), max(i // block, o), k, h, b, i // block) for i, (h, k, b) in enumerate(members) for o in range(n)]
+    rows.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 97])], names=list("gpqkhbo")) for i in range(0, len(rows), 97)]
+    return {p for b in L._pairs_of_keys(threshold, iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_no_pair_escapes_the_segments(threshold):
     rng = random.Random(threshold)
     lines = ["".join(rng.choice("ab") for _ in range(rng.randint(8, 14))) for _ in range(250)]
     lines = sorted({*lines, *(edited(rng, s, rng.randint(1, threshold), "ab") for s in lines)} - {""})
     lines = [s for s in lines if len(s) > threshold]
-    keys, rows = L.segment_keys(*L.codes(pa.array(lines)), threshold)
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows)], names=["key", "h"])
-    found = set()
-    for b in L._pairs_of_keys(iter([batch])):
-        found |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    found = candidates(lines, threshold)
     for i in range(len(lines)):
         for j in range(i + 1, len(lines)):
             if L._plain_distance(lines[i], lines[j]) <= threshold:
                 assert (i, j) in found, (lines[i], lines[j])
+    assert candidates(lines, threshold, 7) == found
+
+
+def test_an_edit_changes_few_parities():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 20)))
+        b = edited(rng, a, rng.randint(0, 3), "abcdefghij")
+        c = edited(rng, b, 1, "xyz")
+        x, y, *_ = L.parities(*L.codes(pa.array([a, b, c, "", "x"]))).tolist()
+        assert (x ^ y).bit_count() <= L._BITS_AN_EDIT * L._plain_distance(a, b)
+        assert [x, y] == [L.parities(*L.codes(pa.array([t]))).tolist()[0] for t in (a, b)]
+
+
+def test_few_candidates_share_a_segment_only():
+    rng = random.Random(8)
+    lines = sorted({"a common beginning " + "".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(300)})
+    assert len(candidates(lines, 2)) < 20
 
 
 def corpus():
@@ -66,6 +97,8 @@ def test_equals_sql_on_awkward_rows(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     got = sorted(tuple(r) for r in L.repeated_lines(df).select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect())
     assert got == run_oracle(df) and {d for *_, d in got} == {0, 1, 2}
+    upper = df.withColumnsRenamed({"text": "Text", "doc_id": "Doc_ID"})
+    assert sorted(tuple(r) for r in L.repeated_lines(upper).select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect()) == got
     assert (104, 0, 103, 0, 1) in got
 
 
@@ -81,7 +114,9 @@ def test_drop_keeps_columns_and_first_occurrences(spark):
     out = {r.doc_id: r for r in L.drop_repeated_lines(df).collect()}
     assert L.drop_repeated_lines(df).columns == df.columns
     assert set(out) == {1, 2, 4, 5}
-    assert out[1].text == rows[0][1] and out[2].text == "Its own line, long enough.\nIt." and out[2].n_chars == 30 and out[5].text == ""
+    assert out[1].text == rows[0][1] and out[2].text == "Its own line, long enough." and out[2].n_chars == 26 and out[5].text == ""
+    upper = df.withColumnsRenamed({"text": "Text", "n_chars": "N_Chars", "doc_id": "DOC_ID"})
+    assert L.drop_repeated_lines(upper).columns == upper.columns and {r[0]: (r[1], r[4]) for r in L.drop_repeated_lines(upper).collect()} == {k: (r.text, r.n_chars) for k, r in out.items()}
     assert L.drop_repeated_lines(df.where("false")).count() == 0
 
 
@@ -91,31 +126,46 @@ def test_very_long_lines(spark):
     assert [tuple(r) for r in L.repeated_lines(df).collect()] == [(2, 0, 1, 0, 2)]
 
 
-def test_threshold_needs_longer_lines(spark):
+def test_an_edit_needs_longer_lines(spark):
     with pytest.raises(ValueError):
-        L.repeated_lines(spark.createDataFrame(corpus(), SCHEMA), threshold=3, min_chars=3)
+        L.repeated_lines(spark.createDataFrame(corpus(), SCHEMA), threshold=3, per_edit=3)
 
 
-def test_hot_key_is_handled_in_parts(monkeypatch):
+def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Hundreds of lines under one key, in blocks of 16, found as in one."""
+    rng = random.Random(2)
+    texts = ["the same beginning of all, " + "".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(300)]
+    texts += [edited(rng, t, 1, "xyz") for t in texts[:60]]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(L, "BLOCK", 16)
     monkeypatch.setattr(L, "_PAIRS_AT_ONCE", 50)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(40, 3)), pa.array(np.arange(40))], names=["key", "h"])
-    found = [p for b in L._pairs_of_keys(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert set(found) == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    got = sorted(tuple(r) for r in L.repeated_lines(df).select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect())
+    assert got == run_oracle(df) and len(got) >= 60
 
 
-def test_short_lines_repeat_too(spark, tmp_path):
+def test_short_lines_repeat_too(spark):
     rng = random.Random(9)
-    rows = [(d, "\n".join("".join(rng.choice("abcdé.") for _ in range(rng.choice((1, 2, 3, 5, 9, 14)))) for _ in range(6)), "en", "s", 0) for d in range(25)]
-    rows += [(40, "Of, edti oner.\nIt\n\n ", "en", "s", 0), (41, "Of, edti oner.\nIt\nAt", "en", "s", 0), (42, "Of, edti ones!", "en", "s", 0)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(d, "\n".join("".join(rng.choice("abcdé.") for _ in range(rng.choice((1, 2, 3, 5, 7, 8, 9, 14, 15, 16)))) for _ in range(6)), "en", "s", 0) for d in range(25)]
+    rows += [(40, "Of, edti oner.\nIt\n\n ", "en", "s", 0), (41, "Of, edti oner.\nIt\nAt", "en", "s", 0), (42, "Of, edti ones!\nOf, edti oner!", "en", "s", 0), (43, "It was.\nIt was", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
     lines = [(d, k, x) for d, t, *_ in sorted(rows) for k, x in enumerate(t.split("\n")) if x.strip()]
-    for least, found in ((L.THRESHOLD + 1, L.whole_query(spark, str(tmp_path))), (L.MIN_CHARS, L.repeated_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), short=True))):
-        expected = []
-        for i, (d, k, x) in enumerate(lines):
-            near = [(a, b, L._plain_distance(x, y)) for a, b, y in lines[:i] if x == y or min(len(x), len(y)) >= least and L._plain_distance(x, y) <= L.THRESHOLD]
-            # equal lines share what another line gives them
-            expected += [(d, k, *near[0])] if near else []
-        assert sorted(tuple(r) for r in found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect()) == expected
-        assert (41, 0, 40, 0, 0) in expected and (41, 1, 40, 1, 0) in expected
-    left = {r.doc_id: r.text for r in L.drop_repeated_lines(spark.createDataFrame(rows[25:], SCHEMA), min_chars=L.THRESHOLD + 1, short=True).collect()}
-    assert left == {40: "Of, edti oner.\nIt\n\n ", 41: "At"}
+    expected = []
+    for i, (d, k, x) in enumerate(lines):
+        near = [(a, b, L._plain_distance(x, y)) for a, b, y in lines[:i] if L._plain_distance(x, y) <= min(L.THRESHOLD, min(len(x), len(y)) // L.CHARS_PER_EDIT)]
+        expected += [(d, k, *near[0])] if near else []
+    assert sorted(tuple(r) for r in L.repeated_lines(df).select("doc_id", "line_no", "first_doc_id", "first_line_no", "distance").collect()) == expected == run_oracle(df)
+    assert {(41, 0, 40, 0, 0), (41, 1, 40, 1, 0), (42, 1, 40, 0, 1)} <= set(expected) and not [x for x in expected if x[:2] == (42, 0) or x[0] == 43]
+    left = {r.doc_id: r.text for r in L.drop_repeated_lines(df.where("doc_id >= 40")).collect()}
+    assert left == {40: "Of, edti oner.\nIt\n\n ", 41: "At", 42: "Of, edti ones!", 43: "It was.\nIt was"}
+
+
+def test_many_repeats_in_a_long_document(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(30)) for _ in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "", "", 0), (2, "\n".join([*lines, "One of its own, and the last one here."]), "", "", 0)], SCHEMA)
+    left = {r.doc_id: r.text for r in L.drop_repeated_lines(df.where("doc_id = 2").union(df.where("doc_id = 1"))).collect()}
+    assert left[2] == "One of its own, and the last one here."
+
+
+def test_empty_table(spark):
+    assert L.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0 and L.drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -37,10 +37,7 @@ def brute_lines(docs):
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         left, lines = [], d["text"].split("\n")
         for line in lines:
-            if len(line) < L.MIN_CHARS:
-                left.append(line)
-                continue
-            if not any(abs(len(x) - len(line)) <= L.THRESHOLD and (x == line or L._plain_distance(x, line) <= L.THRESHOLD) for x in seen):
+            if not line.strip() or not any(x == line or abs(len(x) - len(line)) <= L.THRESHOLD and L._plain_distance(x, line) <= min(L.THRESHOLD, min(len(x), len(line)) // L.CHARS_PER_EDIT) for x in seen):
                 left.append(line)
             seen.append(line)
         if "".join(left).strip() or left == lines:
