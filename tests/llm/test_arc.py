@@ -68,11 +68,18 @@ def test_types_dates_and_digests(records):
     assert [bytes(r.block) for r in records["gzip"]] == [V1, b"abc"] and len(records["large"]) == 3 and records["large"][1].payload_digest == base32(bytes(3_000_000))
 
 
-def test_identifiers_are_uuids_and_stay(records, spark):
+def convert(spark, *files):
+    return sorted(A.to_warc(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")).collect(), key=lambda r: (r.path, r.record_no))
+
+
+def test_identifiers_are_uuids_that_differ_and_stay(records, spark):
     ids = [r.warc_record_id for v in records.values() for r in v if r.warc_record_id]
-    assert all(uuid.UUID(i[10:-1]).version == 5 for i in ids)
-    again = A.to_warc(spark.createDataFrame([("other", bytearray(FILES["one"]))], "path string, content binary")).collect()
-    assert {r.warc_record_id for r in again} == {r.warc_record_id for r in records["one"]}
+    assert all(uuid.UUID(i[10:-1]).version == 5 for i in ids) and len(set(ids)) == len(ids)
+    again = convert(spark, ("one", FILES["one"]))
+    assert [r.warc_record_id for r in again] == [r.warc_record_id for r in records["one"]]
+    same = (b"http://x.example/ 1.2.3.4 19970304050607 text/html", HTTP)
+    both = convert(spark, ("p", v1(same, same)), ("q", v1(same)))
+    assert len({r.warc_record_id for r in both}) == 5
 
 
 @pytest.mark.parametrize("name,number,error", [("short", 1, "declared length"), ("wrong", 1, "fields"), ("noend", 1, "end"), ("first", 0, "version block"), ("version", 0, "unknown version"), ("v1 fields under version 2", 1, "fields")])
@@ -82,8 +89,44 @@ def test_what_cannot_be_read_is_said(records, name, number, error):
     assert all(r.error is None for r in records[name][:-1])
 
 
+def page(k, extra=b""):
+    block = b"HTTP/1.1 200 OK\r\n\r\npage %d %s" % (k, extra * 3000)
+    return b"http://x.example/%d 1.2.3.4 19970304050607 text/html %d\n%s\n" % (k, len(block), block)
+
+
+def told(rows):
+    return [r.warc_target_uri.rpartition("/")[2] if r.warc_target_uri else r.warc_type for r in rows if r.error is None], [r.error for r in rows if r.error]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_a_damaged_member_loses_only_itself(spark, many):
+    members = [gzip.compress(v1())] + [gzip.compress(page(k, bytes(range(256)))) for k in range(10)]
+    hurt = bytearray(members[4])
+    hurt[len(hurt) // 2] ^= 0xFF
+    members[4] = bytes(hurt[:-9]) if many else bytes(hurt)
+    good, errors = told(convert(spark, ("x", b"".join(members))))
+    assert good[:4] == ["warcinfo", "0", "1", "2"] and good[-6:] == ["4", "5", "6", "7", "8", "9"] and any("gzip member" in e for e in errors)
+
+
+def test_padding_between_members(spark):
+    members = [gzip.compress(v1())] + [gzip.compress(page(k)) for k in range(5)]
+    assert told(convert(spark, ("x", b"\0\0".join(members)))) == (["warcinfo", "0", "1", "2", "3", "4"], [])
+    good, errors = told(convert(spark, ("x", b"??".join(members))))
+    assert good == ["warcinfo", "0", "1", "2", "3", "4"] and errors == ["bytes between gzip members"] * 5
+    whole = gzip.compress(v1() + page(0)) + b"\0" * 512 + gzip.compress(page(1) + page(2))  # several records a member
+    assert told(convert(spark, ("x", whole))) == (["warcinfo", "0", "1", "2"], [])
+
+
+def test_plain_files_go_on_after_damage(spark):
+    good, errors = told(convert(spark, ("x", v1() + page(0) + b"garbage here\nmore of it\n" + page(1) + b"http://x.example/long 1.2.3.4 19970304050607 text/html 999999\nabc\n" + page(2))))
+    assert good == ["warcinfo", "0", "1", "2"] and len(errors) == 2 and "24 bytes were not read" in errors[0] and "declared length" in errors[1]
+    second = v2() + b"".join(b"http://x.example/%d 1.2.3.4 19970304050607 text/html 200 - - 7 b.arc 3\nabc\n%s" % (k, b"\xff\xfe\n" * k) for k in range(3))
+    good, errors = told(convert(spark, ("x", second)))
+    assert good == ["warcinfo", "0", "1", "2"] and len(errors) == 2
+
+
 def test_nothing_from_nothing(records, spark):
-    assert "empty" not in records and "null" not in records and len(records["cut gzip"]) == 1 or "declared" in records["cut gzip"][-1].error
+    assert "empty" not in records and "null" not in records and told(records["cut gzip"])[1]
     assert A.to_warc(spark.createDataFrame([], "path string, content binary")).count() == 0
 
 
@@ -108,10 +151,10 @@ def test_dates(date, expected):
 
 
 def test_query_equals_sql_on_awkward_pages(spark, tmp_path):
-    rows = [(1, "http://a.example/", "<p>é</p>", 0), (1, "http://a.example/", "<p>é</p>", 0), (2, None, "x", 0), (3, "http://b.example/", None, 0), (4, "https://c.example/", "", 0), (None, "http://d.example/", "y" * 2_000_000, 0)]
+    rows = [(1, "http://a.example/", "<p>é</p>", 0), (6, "http://a.example/", "<p>é</p>", 0), (1, "http://a.example/", "<p>é</p>", 0), (2, None, "x", 0), (3, "http://b.example/", None, 0), (4, "https://c.example/", "", 0), (None, "http://d.example/", "y" * 2_000_000, 0)]
     spark.createDataFrame(rows, "page_id long, url string, html string, path int").write.parquet(f"{tmp_path}/pages.parquet")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     out = A.query(spark, str(tmp_path))
     expected = c.execute(f"SELECT {', '.join(out.columns)} FROM ({A.oracle()})").fetchall()
-    assert sorted(tuple(r) for r in out.collect()) == sorted(expected) and len(expected) == 5
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected) and len(expected) == 12
