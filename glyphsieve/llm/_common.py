@@ -62,6 +62,12 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured_side(df: DataFrame) -> DataFrame:
+    """df, a table in the shared folder, marked for broadcast if its rows, measured, stay under BROADCAST_BYTES; otherwise as it is, so that the join shuffles."""
+    n = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 16 * len(df.columns)
+    return F.broadcast(df) if (df.agg(F.sum(n.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
