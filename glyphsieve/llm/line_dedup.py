@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm._common import fresh, materialise, small_side
+from glyphsieve.llm._common import fresh, materialise, small_side, whole_groups
 from glyphsieve.llm._words import Prefix, mix
 from glyphsieve.sources.tables import read_table
 
@@ -92,24 +92,6 @@ def _keys_of_batches(threshold: int, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, batch.column(0).to_numpy()[row], parities(data, offsets).view(np.int64)[row])], names=["key", "h", "bits"])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The columns of batches in order of their first `keys` columns, in parts that never divide rows that agree in these."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
-        n = len(held[0])
-        same = np.ones(n, bool)
-        for k in range(keys):
-            same &= held[k] == held[k][-1] if n else True
-        cut = n - int(np.argmin(same[::-1])) if n and not same.all() else 0
-        if cut:
-            yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def _pairs_of_keys(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of lines that may be near, of batches(group, p, q, key, h, bits, block) in order of (group, p, q): within a block, if p is q, else across the two."""
     for group, p, q, key, h, bits, block in whole_groups(batches, 3):

@@ -14,10 +14,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm._common import fresh, materialise, text_batches
+from glyphsieve.llm._common import fresh, materialise, text_batches, whole_groups
 from glyphsieve.llm._words import mix, words
 from glyphsieve.llm.components import components
 from glyphsieve.sources.tables import read_table
@@ -26,6 +26,8 @@ HASHES = 72
 CHUNK = 6
 #: Differing symbols of HASHES at most: at a resemblance of 0.8, pairs differ in 14.4 of them, standard deviation 3.4.
 MAX_DISTANCE = 2 * HASHES // CHUNK - 1
+#: Ids of a masked chunk that are compared with one another, or with so many others, in one place.
+BLOCK = 4096
 _SLICE = 1 << 20
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -100,25 +102,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), HASHES))], names=["key", "id"])
 
 
-def _grouped(key: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    order = np.lexsort((columns[0], key))
-    out = [x[order] for x in (key, *columns)]
-    edge = np.flatnonzero(np.concatenate([[True], out[0][1:] != out[0][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-    return out, edge
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (key, id) rows of a partition whose key has two ids or more."""
-    got = list(batches)
-    if not got:
-        return
-    key, ids = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
-    (key, ids), edge = _grouped(key, ids)
-    n = np.diff(edge)
-    keep = np.repeat(n > 1, n)
-    yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["key", "id"])
-
-
 def bucket_edges(ids: np.ndarray, sig: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Edges between ids (sorted) of one bucket within `limit`, enough to connect all that are connected by such pairs: a pivot is compared with all ids of other components."""
     comp, edges = np.arange(len(ids)), []
@@ -134,51 +117,56 @@ def bucket_edges(ids: np.ndarray, sig: np.ndarray, limit: int) -> list[tuple[int
 
 
 def _verified(limit: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a partition of (key, id, sig). every: all pairs within limit, else a spanning part of them."""
-    got = list(batches)
-    if not got:
-        return
-    key, ids = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
-    sig = np.concatenate([_matrix(b.column(2)) for b in got])
-    (key, ids, sig), edge = _grouped(key, ids, sig)
-    n = np.diff(edge)
-    a, b = [], []
-    if not every:  # first all ids against the first of their bucket, at once
-        first = np.repeat(edge[:-1], n)
-        step = 1 << 18
-        near = np.concatenate([(sig[i : i + step] != sig[first[i : i + step]]).sum(1) <= limit for i in range(0, len(key), step)]) if len(key) else np.zeros(0, bool)
-        link = np.flatnonzero(near & (first != np.arange(len(key))))
-        a, b = [ids[first[link]]], [ids[link]]
-        apart = np.add.reduceat(~near, edge[:-1]) if len(key) else np.zeros(0, int)
-        buckets = np.flatnonzero(apart > 0)
-    else:
-        buckets = np.flatnonzero(n > 1)
-    for g in buckets:
-        i, j = edge[g], edge[g + 1]
-        if every:
-            for p in range(i, j - 1):
-                q = np.flatnonzero((sig[p + 1 : j] != sig[p]).sum(1) <= limit) + p + 1
-                a.append(np.full(len(q), ids[p]))
-                b.append(ids[q])
+    """Edges of batches(key, p, q, id, sig) in order of these: all pairs within limit of each group of (key, p, q), or (every=False) a spanning part of them."""
+    for key, p, q, ids, packed in whole_groups(batches, 3):
+        sig = np.frombuffer(b"".join(packed.tolist()), np.uint8).reshape(-1, HASHES)
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
+        n = np.diff(edge)
+        a, b = [], []
+        if not every:  # first all ids against the first of their group, at once
+            first = np.repeat(edge[:-1], n)
+            step = 1 << 18
+            near = np.concatenate([(sig[i : i + step] != sig[first[i : i + step]]).sum(1) <= limit for i in range(0, len(key), step)])
+            link = np.flatnonzero(near & (first != np.arange(len(key))))
+            a, b = [ids[first[link]]], [ids[link]]
+            groups = np.flatnonzero(np.add.reduceat(~near, edge[:-1]) > 0)
         else:
-            pairs = np.array(bucket_edges(ids[i:j], sig[i:j], limit), np.int64).reshape(-1, 2)
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-    pairs = np.unique(np.stack([np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])], 1).astype(np.int64), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            groups = np.flatnonzero(n > 1)
+        for g in groups:
+            i, j = edge[g], edge[g + 1]
+            if every:
+                for k in range(i, j - 1):
+                    other = np.flatnonzero((sig[k + 1 : j] != sig[k]).sum(1) <= limit) + k + 1
+                    a.append(np.full(len(other), ids[k]))
+                    b.append(ids[other])
+            else:
+                pairs = np.array(bucket_edges(ids[i:j], sig[i:j], limit), np.int64).reshape(-1, 2)
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1).astype(np.int64), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def hamming_join(sigs: DataFrame, limit: int = MAX_DISTANCE, every: bool = True) -> DataFrame:
     """Pairs (a < b) of ids whose signatures differ in at most `limit` symbols: all of them, or (every=False) enough to connect what they connect.
 
-    sigs: id, sig, unique by id. limit can't exceed MAX_DISTANCE, up to which the chunks guarantee that no pair is missed.
+    sigs: id, sig, unique by id. limit can't exceed MAX_DISTANCE, up to which the chunks guarantee that no pair is missed. The ids of a masked chunk are compared in
+    blocks of BLOCK, each with itself and with every other, so that a chunk of however many is the work of many tasks, each of bounded memory.
     """
     if not 0 <= limit <= MAX_DISTANCE:
         raise ValueError(f"limit must be from 0 to {MAX_DISTANCE}")
     keys = sigs.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = keys.repartition("key").mapInArrow(_shared, "key long, id long")
-    rows = shared.join(sigs.select("id", "sig"), "id").select("key", "id", "sig")
-    return rows.repartition("key").mapInArrow(partial(_verified, limit, every), "a long, b long").distinct()
+    group = Window.partitionBy("key")
+    # counts and places come from a sort that spills; chunks of a single id go
+    met = keys.select("key", "id", F.row_number().over(group.orderBy("id")).alias("place"), F.count("*").over(group).alias("n")).where("n > 1")
+    block, last = F.floor((F.col("place") - 1) / BLOCK).cast("int"), F.floor((F.col("n") - 1) / BLOCK).cast("int")
+    pairs = F.when(last == 0, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
+        F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, block).alias("p"), F.greatest(o, block).alias("q")))
+    )
+    rows = met.select("key", "id", F.explode(pairs).alias("o")).select("key", "o.p", "o.q", "id").join(sigs.select("id", "sig"), "id").select("key", "p", "q", "id", "sig")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+    return rows.mapInArrow(partial(_verified, limit, every), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsieve.llm._common import fresh, materialise, small_side
+from glyphsieve.llm._common import fresh, materialise, measured_side
 from glyphsieve.sources.tables import read_table
 
 #: Kind and pattern of entities; earlier ones win where both match.
@@ -39,7 +39,6 @@ GENERALISE = 0.75
 REMOVE = 0.9
 TERM = "[\\p{L}\\p{N}]+"
 NOT_TERM = "[^\\p{L}\\p{N}]+"
-_TERM_BYTES = 80
 
 
 def has_entity(text: Column) -> Column:
@@ -80,9 +79,9 @@ def holders(docs: DataFrame, joint: int) -> tuple[DataFrame, DataFrame]:
     found = docs.where(has_entity(F.col("text"))).select(F.xxhash64("text").alias("passage"), F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1)), _name)).alias("entities"))
     found = materialise(found.select("passage", F.explode("entities").alias("entity")).distinct())
     often = materialise(found.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= joint).select("entity"))
-    held = materialise(found.join(small_side(often, often.count(), _TERM_BYTES), "entity", "left_semi"))
+    held = materialise(found.join(measured_side(often), "entity", "left_semi"))
     asked = materialise(held.select("passage").distinct())
-    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("passage"), "text").join(small_side(asked, asked.count(), 16), "passage", "left_semi")
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("passage"), "text").join(measured_side(asked), "passage", "left_semi")
     terms = F.array_distinct(F.filter(F.split(F.lower(F.array_join(F.split("text", ENTITY), " ")), NOT_TERM), lambda w: F.length(w) >= MIN_CHARS))
     return held, texts.select("passage", terms.alias("terms")).dropDuplicates(["passage"])
 
@@ -102,9 +101,8 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, joint: int
     pairs = beside.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= joint)
     pairs = materialise(pairs)
     asked = materialise(pairs.select("term").distinct())
-    n_asked = asked.count()
     texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
-    own = texts.join(small_side(asked, n_asked, _TERM_BYTES), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    own = texts.join(measured_side(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h")).distinct().count() + (0 if whole else said.count())
     entity = said.groupBy("entity").agg(F.count("*").alias("n_entity"))
     rows = pairs.join(own, "term").join(entity, "entity")
@@ -124,16 +122,15 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     own = [c for c in docs.columns if c.lower() not in ("n_entities", "n_generalised", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
     terms = materialise(disclosing_terms(docs, generalise, joint, whole))
-    n_terms = terms.count()
     rid, hard, soft, work = (fresh(docs, x) for x in ("gs_row", "gs_hard", "gs_soft", "gs_text"))
     # per text, which of its words are such terms: texts are known by their hash, and only those with a term take part
-    asked = small_side(terms, n_terms, _TERM_BYTES)
+    asked = measured_side(terms)
     words = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias(rid), F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
     held = words.join(asked, "term").groupBy(rid).agg(
         F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias(hard), F.collect_set(F.when(F.col("disclosure") < remove, F.col("term"))).alias(soft)
     )
     held = materialise(held)
-    marked = docs.withColumn(rid, F.xxhash64("text")).join(small_side(held, held.count(), 400), rid, "left")
+    marked = docs.withColumn(rid, F.xxhash64("text")).join(measured_side(held), rid, "left")
     marked = marked.where(F.col(hard).isNotNull() | has_entity(F.col("text")))
     empty = F.array().cast("array<string>")
     # split at entities; what stands between them gives up its terms

@@ -142,3 +142,12 @@ def test_parts_find_and_cut_what_one_search_does(spark, monkeypatch):
     assert len(found) > 2 and all(isinstance(p, str) for p in found)
     assert rows(D.contaminated_spans(df, benchmark)) == spans == brute(docs, items)
     assert rows(D.decontaminate(df, benchmark)) == left
+
+
+def test_short_items(spark):
+    """An item of fewer words than a phrase is one phrase, down to `least` words."""
+    docs = spark.createDataFrame([(1, "see the quick brown fox jumps here"), (2, "a quick brown fox"), (3, "fox")], "doc_id long, text string")
+    items = spark.createDataFrame([("The quick, brown fox jumps!",), ("Brown fox",), ("fox",), ("",), (None,)], "text string")
+    found = lambda least: sorted((r.doc_id, r.span_start, r.span_end, r.span_words) for r in D.contaminated_spans(docs, items, least=least).collect())
+    assert found(5) == [(1, 4, 29, 5)] and found(2) == [(1, 4, 29, 5), (2, 8, 17, 2)] and found(1) == [(1, 4, 29, 5), (2, 8, 17, 2), (3, 0, 3, 1)]
+    assert {r.doc_id: r.text for r in D.decontaminate(docs, items, least=1).collect()} == {1: "see  here", 2: "a quick "}

@@ -119,3 +119,40 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (3, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {k: v for k, v in roots([p for p in pairs if p[0] != p[1]]).items()}
+
+
+def test_hot_chunks_are_compared_in_blocks(spark, monkeypatch):
+    """Hundreds of signatures under the same masked chunks, most of them far from one another, in blocks of 7."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, (150, M.HASHES), dtype=np.uint8)
+    sig[:, : M.CHUNK] = 5
+    sig[100:] = sig[:50]
+    for r in range(100, 150):
+        sig[r, rng.choice(np.arange(M.CHUNK, M.HASHES), 20, replace=False)] ^= 1
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, sig binary")
+    near = {(i, j) for i in range(150) for j in range(i + 1, 150) if (sig[i] != sig[j]).sum() <= M.MAX_DISTANCE}
+    monkeypatch.setattr(M, "BLOCK", 7)
+    got = [tuple(r) for r in M.hamming_join(df).collect()]
+    assert set(got) == near and len(got) == len(near) >= 50
+    some = {tuple(r) for r in M.hamming_join(df, every=False).collect()}
+    assert some <= near and components_of(some) == components_of(near)
+
+
+def components_of(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in sorted(edges):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in root}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "inserted", *words[150_000:]])), (3, " ".join(reversed(words)))]
+    assert {tuple(r) for r in M.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, 1), (2, 1)}

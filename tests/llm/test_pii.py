@@ -129,3 +129,24 @@ def test_terms_of_whole_texts_disclose(spark):
     assert not any(re.search("(?i)wilhelmina|quixote", t) for t in out.values()) and "xylophone" in out[120]
     every = spark.createDataFrame([(k, f"text {k} of {JANE}") for k in range(4)], "doc_id long, text string")  # an entity that all texts hold tells nothing
     assert {r.text for r in P.sanitise(every, whole=True).collect()} == {f"text {k} of [EMAIL]" for k in range(4)}
+
+
+def test_the_query_removes_and_generalises_terms(spark, tmp_path):
+    """A table in which terms reach either threshold: the registered query replaces what the brute-force estimate says, in documents without the entity, too."""
+    rng = random.Random(8)
+    word = lambda: "w" + "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [" ".join(word() for _ in range(12)) for _ in range(400)]
+    rows += [f"{word()} Zebrafinch wrote from bird.{k % 1}@mail.example to {word()} {word()}" for k in range(6)]
+    rows += [f"{word()} Northfield {word()} 555-123-4567 {word()}" for _ in range(4)] + [f"Northfield {word()}" for _ in range(4)]
+    rows += ["The ZEBRAFINCH is a bird.", "Nothing of the kind."]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = {r.term: r.disclosure for r in P.disclosing_terms(docs).collect()}
+    n = len(set(rows)) + 10  # distinct texts and passages
+    assert abs(told["zebrafinch"] - math.log(6 * n / (7 * 6)) / math.log(n / 6)) < 1e-12 and told["zebrafinch"] >= P.REMOVE
+    assert abs(told["northfield"] - math.log(4 * n / (8 * 4)) / math.log(n / 4)) < 1e-12 and P.GENERALISE <= told["northfield"] < P.REMOVE
+    out = {r.doc_id: r for r in P.query(spark, str(tmp_path)).collect()}
+    assert set(out) == set(range(400, 415))
+    assert not any("zebrafinch" in r.text.lower() or "Northfield" in r.text or "@" in r.text for r in out.values())
+    assert all(out[i].n_removed >= 1 for i in (*range(400, 406), 414)) and all(out[i].n_generalised == 1 and "[WORD]" in out[i].text for i in range(406, 414))
+    assert out[414].text == "The  is a bird."
