@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import complexity
+from glyphsieve.sources.files import scratch
 
 MAX_PATTERNS = 200
 SEED = 13
@@ -52,7 +53,7 @@ def first_of_each(at: DataFrame) -> DataFrame:
 def shuffle_ranks(tokens: DataFrame, seed: int = SEED) -> DataFrame:
     """(token, rn, n): distinct tokens(token) with their rank from 1 in shuffled order, and how many there are."""
     ranked = rank_all(tokens.select("token", F.concat(shuffled(F.col("token"), seed), "token").alias("_h")), "_h")
-    return ranked.select("token", "rn", F.lit(tokens.count()).cast("long").alias("n"))
+    return ranked.select("token", "rn", F.lit(ranked.count()).cast("long").alias("n"))
 
 
 def _templates(t: Column) -> list[Column]:
@@ -113,12 +114,16 @@ def generate_pair_patterns(tokens: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def rank_all(rows: DataFrame, column: str) -> DataFrame:
-    """rows with rn, their rank from 1 by a column of distinct values, without bringing them into one partition."""
-    parts = rows.repartitionByRange(column).sortWithinPartitions(column).select("*", F.spark_partition_id().alias("_p"))
-    parts = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(column).alias("_min"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    return parts.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(*rows.columns, (F.col("_before") + F.col("_k")).alias("rn"))
+    """rows with rn, their rank from 1 by a column of distinct values, without bringing them into one partition.
+
+    Borders of ranges come from samples that differ from run to run, so the sorted rows are written once, and both the counts and the ranks are of what was written.
+    """
+    path = scratch(rows.sparkSession)
+    rows.repartitionByRange(column).sortWithinPartitions(column).select("*", F.monotonically_increasing_id().alias("_m")).write.parquet(path)
+    parts = rows.sparkSession.read.parquet(path).select(*rows.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    return parts.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(*rows.columns, (F.col("_before") + F.col("_k") + 1).alias("rn"))
 
 
 def autogenerated(tokens: DataFrame, max_patterns: int = MAX_PATTERNS, seed: int = SEED) -> DataFrame:

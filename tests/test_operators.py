@@ -183,6 +183,15 @@ def test_ranks_over_partitions(spark):
     assert sorted(got) == list(enumerate(sorted(t for _, t in got), 1))
 
 
+def test_ranks_of_more_rows_than_borders_are_sampled_from(spark):
+    n = 60_000
+    df = spark.range(n).select(F.concat(F.md5(F.col("id").cast("string")), F.lit("-")).alias("h"), "id")
+    got = patterngen.rank_all(df, "h").orderBy("rn").collect()
+    assert [r.rn for r in got] == list(range(1, n + 1)) and [r.h for r in got] == sorted(r.h for r in got)
+    ranked = patterngen.shuffle_ranks(df.select(F.col("h").alias("token"))).agg(F.countDistinct("rn"), F.min("rn"), F.max("rn"), F.min("n")).first()
+    assert tuple(ranked) == (n, 1, n, n)
+
+
 def test_length_sweeps(spark):
     df = spark.createDataFrame([(1, "short é text"), (2, "a%b_c  longer printable text here"), (3, None), (4, "")], "id int, t string")
     exists = patterngen.len_sweep_exists(df, "id", "t", (1, 4, 10, 50))
