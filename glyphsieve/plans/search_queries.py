@@ -338,12 +338,17 @@ def written(spark: SparkSession, rows: DataFrame, form: str, **options) -> str:
     return path
 
 
+#: Lines of a file that is read back as one row.
+AT_MOST = 5_000
+
+
 @query("src_text", "SELECT sum(length(text)) AS chars, count(*) AS rows FROM documents")
 def _(spark, d):
-    """Every document is written as a line of a file, and the files read back whole."""
-    path = written(spark, load(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")), "text")
-    lines = files.read_text(spark, path).select(F.explode(F.split("data", "\n")).alias("line")).where("line <> '' ")
-    return lines.agg(F.sum(F.length("line")).alias("chars"), F.count("*").alias("rows"))
+    """Every document is written as a line of a file, and the files, of AT_MOST lines each, read back whole. A line is what ends with a newline, be it empty."""
+    path = written(spark, load(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")), "text", maxRecordsPerFile=AT_MOST)
+    ends = F.length("data") - F.length(F.replace("data", F.lit("\n"), F.lit("")))
+    read = files.read_text(spark, path).select(F.length("data").alias("n"), ends.alias("ends"))
+    return read.agg(F.sum(F.col("n") - F.col("ends")).alias("chars"), F.coalesce(F.sum("ends"), F.lit(0)).cast("long").alias("rows"))
 
 
 def _fasta(spark: SparkSession, d: str) -> str:

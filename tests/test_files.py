@@ -127,3 +127,16 @@ def test_a_file_without_patterns_is_an_error(spark, tmp_path):
 
 def test_quote():
     assert quote("it's") == "'it''s'"
+
+
+def test_empty_documents_are_lines_of_bounded_files(spark, tmp_path, monkeypatch):
+    from glyphsieve.plans import search_queries
+
+    monkeypatch.setattr(search_queries, "AT_MOST", 2, raising=False)
+    texts = ["", "one\ntwo", None, "été 💩", "", "\n", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spread = []
+    read = search_queries.files.read_text
+    monkeypatch.setattr(search_queries.files, "read_text", lambda s, path: spread.append(read(s, path).count()) or read(s, path))
+    assert tuple(search_queries.QUERIES["src_text"](spark, str(tmp_path)).first()) == (sum(len(t or "") for t in texts), len(texts))
+    assert spread[0] >= 4
