@@ -219,3 +219,12 @@ def test_persisted_indexes(spark, corpus, tmp_path):
         assert ids(index.trigram_like(corpus, again, p)) == ids(index.suffix_like(corpus, lookup, p)) == ids(engine.execute(corpus, p)), p
     plan = index.suffix_search(suffixes, "ana")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith" in plan and "GreaterThanOrEqual" in plan
+
+
+def test_literal_sweep_judges_texts_once_a_literal(spark, corpus):
+    got = engine.literal_sweep(corpus, ["bolt", "ana"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # algorithms are dealt out after the counts are summed
+    expected = {(t, p): sum(len(re.findall(f"(?={p})", r.data or "")) for r in corpus.collect() if r.table == t) for t in "ab" for p in ("bolt", "ana")}
+    rows = got.collect()
+    assert len(rows) == 10 * 2 * 2 and all(r.hits == expected[r.table, r.pattern] for r in rows)
