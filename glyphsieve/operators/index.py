@@ -25,10 +25,10 @@ BROAD, BROAD_SHARE = 100_000, 0.01
 _SLICE, _ROW_GROUP = 1 << 20, 2 << 20
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches(table, row_id, data) of about _SLICE bytes, with the bytes of all their texts and the n + 1 places of these."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches(..., data) of about _SLICE bytes, with the bytes of all their texts and the n + 1 places of these."""
     for batch in batches:
-        data = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+        data = batch.column(batch.num_columns - 1).cast(pa.large_binary()).fill_null(b"")
         at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
         i = 0
         while i < len(data):
@@ -39,7 +39,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, raw, at in _texts(batches):
+    for batch, raw, at in slices(batches):
         if len(raw) < 3:
             continue
         gram = (raw[:-2].astype(np.int64) << 16) | (raw[1:-1].astype(np.int64) << 8) | raw[2:]
@@ -82,7 +82,7 @@ def trigram_like(corpus: DataFrame, index: DataFrame, pattern: str, underscore:
 def _suffixes(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = np.array([chr(i).encode() for i in range(256)], object)
     wide = np.array([len(x) for x in letters], np.int64)
-    for batch, raw, at in _texts(batches):
+    for batch, raw, at in slices(batches):
         n = np.diff(at)
         row = np.repeat(np.arange(len(n)), n)
         position = np.arange(len(raw)) - at[row]

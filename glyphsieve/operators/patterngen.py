@@ -5,10 +5,17 @@ Where the order must be a shuffled one, it is that of an MD5 of the seed and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import complexity
+from glyphsieve.operators.index import slices
 from glyphsieve.sources.files import scratch
 
 MAX_PATTERNS = 200
@@ -169,13 +176,65 @@ SEQUENCES = ("dna", "protein")
 ATTEMPTS = 25
 
 
+#: Printable ASCII without wildcards, by byte.
+_PRINTABLE = np.array([32 <= b < 127 and chr(b) not in "%_" for b in range(256)])
+
+
+def _runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each longest run of printable ASCII without wildcards or outer space, in order; and which bytes may stand at the ends of a literal."""
+    fits = _PRINTABLE[raw]
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[at] = True  # a run doesn't reach into the next text
+    after = np.concatenate((fits[:-1], [False])) & ~begins[1:]  # whether the run goes on behind a byte
+    after[:-1] &= fits[1:]
+    first = np.flatnonzero(fits & ~np.concatenate(([False], after[:-1])))
+    last = np.flatnonzero(fits & ~after)
+    solid = fits & (raw != 32)
+    place = np.flatnonzero(solid)
+    i, j = np.searchsorted(place, first), np.searchsorted(place, last, side="right") - 1
+    some = i <= j
+    return place[i[some]], place[j[some]] + 1, solid
+
+
+def _first_runs(lengths: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, id, literal): of batches(id, text), for each length the first fitting run of the smallest id. Texts behind the best ones so far are passed over."""
+    best: dict[int, tuple] = {}
+    kind = None
+
+    def sorted_batches():
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            yield b.take(pc.sort_indices(b.column(0)))
+
+    for batch, raw, at in slices(sorted_batches()):
+        kind, ids = batch.schema.field(0).type, batch.column(0)
+        if not len(raw) or len(best) == len(lengths) and ids[0].as_py() >= max(x for x, _ in best.values()):
+            continue
+        begin, end, solid = _runs(raw, at)
+        size, row = end - begin, np.searchsorted(at, begin, side="right") - 1
+        for n in lengths:
+            for k in np.flatnonzero(size >= n):
+                own = ids[int(row[k])].as_py()
+                if n in best and own >= best[n][0]:
+                    break
+                a, b = begin[k], end[k]
+                where = np.flatnonzero(solid[a : b - n + 1] & solid[a + n - 1 : b])
+                if len(where):
+                    best[n] = own, raw[a + where[0] : a + where[0] + n].tobytes().decode()
+                    break
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x for x, _ in best.values()], kind), pa.array([x for _, x in best.values()])], names=["n", "id", "literal"])
+
+
 def len_sweep_exists(rows: DataFrame, id_column: str, text_column: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """(n, literal): for each length a literal that occurs: the first run of printable ASCII without wildcards or outer space, of the row of the smallest id that has one.
-    A length that no row has is left out."""
-    fits = lambda n: F.regexp_extract(text_column, f"([!-$&-^`-~]{'[ -$&-^`-~]' + '{' + str(n - 2) + '}[!-$&-^`-~]' if n > 1 else ''})", 1)
-    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.nullif(F.when(F.length(text_column) >= n, fits(n)), F.lit("")).alias("literal")) for n in lengths])
-    found = rows.select(F.col(id_column).alias("id"), F.explode(cells).alias("c")).where("c.literal IS NOT NULL")
-    return found.groupBy(F.col("c.n").alias("n")).agg(F.min_by("c.literal", "id").alias("literal"))
+    A length that no row has is left out.
+
+    Texts are read once; the result, a row a length, is fetched, so that what is made of it doesn't read them again."""
+    texts = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("data"))
+    schema = rows.select(F.lit(0).alias("n"), F.col(id_column).alias("id"), F.lit("").alias("literal")).schema
+    found = texts.mapInArrow(partial(_first_runs, tuple(lengths)), schema).groupBy("n").agg(F.min_by("literal", "id").alias("literal")).collect()
+    return rows.sparkSession.createDataFrame(sorted(tuple(r) for r in found), "n int, literal string")
 
 
 def mutated(literal: str, kind: str, attempt: int) -> str:
@@ -192,18 +251,19 @@ def mutated(literal: str, kind: str, attempt: int) -> str:
 def len_sweep_nomatch(literals: DataFrame, rows: DataFrame, text_column: str, kind: str = "text", lengths: tuple[int, ...] = NOMATCH_LENGTHS) -> DataFrame:
     """(n, literal): each of literals(n, literal) of the given lengths, changed by the first of ATTEMPTS that makes it occur in no text. An error, if none does.
 
-    Literals are few, a row a length: they become one projection over the texts, which are read once.
+    Literals are few, a row a length: they become one projection over the texts, which are read once, and again only if a first attempt occurs.
     """
     known = literals.where(F.col("n").isin(*lengths)).orderBy("n").collect()
-    tries = [(r.n, k, mutated(r.literal, kind, k)) for r in known for k in range(ATTEMPTS)]
     chosen: dict[int, str] = {}
-    distinct = list(dict.fromkeys(t for _, _, t in tries))
-    if distinct:
-        seen = rows.agg(*[F.coalesce(F.max(F.col(text_column).contains(t)), F.lit(False)).alias(f"t{j}") for j, t in enumerate(distinct)]).first()
-        there = {t for j, t in enumerate(distinct) if seen[f"t{j}"]}
-        for n, _, t in tries:
-            if t not in there:
-                chosen.setdefault(n, t)
+    for attempts in (range(1), range(1, ATTEMPTS)):
+        tries = [(r.n, mutated(r.literal, kind, k)) for r in known if r.n not in chosen for k in attempts]
+        distinct = list(dict.fromkeys(t for _, t in tries))
+        if distinct:
+            seen = rows.agg(*[F.coalesce(F.max(F.col(text_column).contains(t)), F.lit(False)).alias(f"t{j}") for j, t in enumerate(distinct)]).first()
+            there = {t for j, t in enumerate(distinct) if seen[f"t{j}"]}
+            for n, t in tries:
+                if t not in there:
+                    chosen.setdefault(n, t)
     if lost := {r.n for r in known} - set(chosen):
         raise ValueError(f"no literal of length {min(lost)} is absent from all texts")
     return literals.sparkSession.createDataFrame(sorted(chosen.items()), "n int, literal string")

@@ -228,3 +228,19 @@ def test_literal_sweep_judges_texts_once_a_literal(spark, corpus):
     expected = {(t, p): sum(len(re.findall(f"(?={p})", r.data or "")) for r in corpus.collect() if r.table == t) for t in "ab" for p in ("bolt", "ana")}
     rows = got.collect()
     assert len(rows) == 10 * 2 * 2 and all(r.hits == expected[r.table, r.pattern] for r in rows)
+
+
+def test_length_sweep_takes_the_first_run_of_the_smallest_id_in_one_pass(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  %_é\n🙂cd~!") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["  ", "", None, " x ", "%", "ab cd ef gh  ij kl" * 3, "a" * 30]
+    ids_ = rng.sample(range(10_000), len(texts))
+    df = spark.createDataFrame(list(zip(ids_, texts)), "id long, t string").repartition(5)
+    lengths = (1, 2, 3, 5, 8, 13, 20, 30, 54, 60)
+    expected = {}
+    for n in lengths:
+        run = re.compile("[!-$&-^`-~]" + (f"[ -$&-^`-~]{{{n - 2}}}[!-$&-^`-~]" if n > 1 else ""))
+        found = [m[0] for _, t in sorted(zip(ids_, texts)) if (m := run.search(t or ""))]
+        expected |= {n: found[0]} if found else {}
+    exists = patterngen.len_sweep_exists(df, "id", "t", lengths)
+    assert {r.n: r.literal for r in exists.collect()} == expected and 60 not in expected
+    assert "Aggregate" not in exists._jdf.queryExecution().optimizedPlan().toString()  # fetched, not computed anew
