@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import complexity, literal_length, pattern_kind
+from glyphsieve.sources.files import kept
 
 SCENARIO = ("dataset", "table", "pattern_index", "run")
 #: Ranges of literal lengths for which winners are told; they overlap.
@@ -255,8 +256,10 @@ def clustered(rows: DataFrame, k: int = 6, seed: int = 42, vector: str = "embedd
 
 
 def scenario_clusters(features: DataFrame, algorithms: list[str], k: int = 6) -> DataFrame:
-    """features with cluster_profile, of the embedded timings, and cluster_hybrid, of the embedded timings and META; and both embeddings, profile and hybrid."""
-    rows = features
+    """features with cluster_profile, of the embedded timings, and cluster_hybrid, of the embedded timings and META; and both embeddings, profile and hybrid.
+
+    Every fit reads its rows several times, so features are written once."""
+    rows = kept(features)
     for name, columns in (("profile", algorithms), ("hybrid", [*algorithms, *META])):
         rows = embedded(scaled(rows, columns, f"scaled_{name}"), 2, f"scaled_{name}", name)
         rows = clustered(rows, k, vector=name, output=f"cluster_{name}")
@@ -265,11 +268,16 @@ def scenario_clusters(features: DataFrame, algorithms: list[str], k: int = 6) ->
 
 def dataset_clusters(features: DataFrame, algorithms: list[str], least: int = 20) -> DataFrame:
     """features of the datasets of `least` scenarios or more, with embeddings of two and three dimensions of each dataset's own and dataset_cluster: min(6, max(2, n // 40))
-    clusters of the former. Timings and META are scaled over all datasets. Datasets are few: each is fitted by itself."""
+    clusters of the former. Timings and META are scaled over all datasets. Datasets are few: each is fitted by itself, from features that
+    are written once. The first two components of three are those of two."""
+    from pyspark.ml.feature import VectorSlicer
+
+    features = kept(features)
     rows = scaled(features, [*algorithms, *META])
     out = None
     for r in features.groupBy("dataset").count().where(F.col("count") >= least).orderBy("dataset").collect():
-        own = embedded(embedded(rows.where(F.col("dataset") == r["dataset"]), 2, output="embedding2"), 3, output="embedding3")
+        own = embedded(rows.where(F.col("dataset") == r["dataset"]), 3, output="embedding3")
+        own = VectorSlicer(inputCol="embedding3", outputCol="embedding2", indices=[0, 1]).transform(own)
         own = clustered(own, min(6, max(2, r["count"] // 40)), vector="embedding2", output="dataset_cluster")
         out = own if out is None else out.unionByName(own)
     return rows.where("false").withColumns({"embedding2": F.col("scaled"), "embedding3": F.col("scaled"), "dataset_cluster": F.lit(0)}) if out is None else out
@@ -280,6 +288,7 @@ def cluster_summary(clusters: DataFrame, results: DataFrame, cluster: str = "dat
     each with its number of scenarios."""
     keys = ["dataset", "cluster"]
     rows = clusters.select(*SCENARIO, F.col(cluster).alias("cluster"), "kind").join(winners(results), list(SCENARIO))
+    rows = kept(rows.select(*keys, "table", "kind", "algorithm"))
 
     def most(column: str) -> DataFrame:
         n = rows.groupBy(*keys, column).agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import complexity
 from glyphsieve.operators.index import slices
-from glyphsieve.sources.files import scratch
+from glyphsieve.sources.files import kept
 
 MAX_PATTERNS = 200
 SEED = 13
@@ -125,9 +125,8 @@ def rank_all(rows: DataFrame, column: str) -> DataFrame:
 
     Borders of ranges come from samples that differ from run to run, so the sorted rows are written once, and both the counts and the ranks are of what was written.
     """
-    path = scratch(rows.sparkSession)
-    rows.repartitionByRange(column).sortWithinPartitions(column).select("*", F.monotonically_increasing_id().alias("_m")).write.parquet(path)
-    parts = rows.sparkSession.read.parquet(path).select(*rows.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+    parts = kept(rows.repartitionByRange(column).sortWithinPartitions(column).select("*", F.monotonically_increasing_id().alias("_m")))
+    parts = parts.select(*rows.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     return parts.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(*rows.columns, (F.col("_before") + F.col("_k") + 1).alias("rn"))

@@ -34,6 +34,12 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows as they are now, written to the shared folder once and opened: what reads them again doesn't compute them again."""
+    rows.write.parquet(path := scratch(rows.sparkSession))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 

@@ -244,3 +244,19 @@ def test_length_sweep_takes_the_first_run_of_the_smallest_id_in_one_pass(spark):
     exists = patterngen.len_sweep_exists(df, "id", "t", lengths)
     assert {r.n: r.literal for r in exists.collect()} == expected and 60 not in expected
     assert "Aggregate" not in exists._jdf.queryExecution().optimizedPlan().toString()  # fetched, not computed anew
+
+
+def test_clusters_read_features_that_are_written_once(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(4)
+    made = [("d", "t", i, 0, "p", "exact", *[rng.random() * 9 for _ in range(3 + len(analytics.META))]) for i in range(90)]
+    names = ["dataset", "table", "pattern_index", "run", "pattern", "kind", "x", "y", "z", *analytics.META]
+    features = spark.createDataFrame(made, names).repartition(3)
+    out = analytics.dataset_clusters(features, ["x", "y", "z"])
+    assert "ExistingRDD" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "parquet" in plan.lower()
+    assert "ExistingRDD" not in analytics.scenario_clusters(features, ["x", "y", "z"])._jdf.queryExecution().executedPlan().toString()
+    two = analytics.embedded(analytics.scaled(features, ["x", "y", "z", *analytics.META]), 2)
+    at = lambda df, c: {r.pattern_index: r.v for r in df.select("pattern_index", vector_to_array(c).alias("v")).collect()}
+    got, expected = at(out, "embedding2"), at(two, "embedding")
+    assert len(got) == 90 and all(np.allclose(np.abs(got[k]), np.abs(expected[k])) for k in got)
