@@ -11,7 +11,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.pattern import Pattern, byte_view, compile_like, latin1
@@ -23,6 +23,8 @@ SUFFIX_BYTES = 24
 BROAD, BROAD_SHARE = 100_000, 0.01
 #: Bytes of texts taken at once, and of a row group of an index: small ones, so that a probe reads little.
 _SLICE, _ROW_GROUP = 1 << 20, 2 << 20
+#: Places whose suffixes are made at once, and bytes of a corpus whose suffixes or grams are sorted by one task.
+_WINDOW, _PART = 1 << 15, {"trigram": 16 << 20, "suffix": 2 << 20}
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -38,22 +40,40 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             i = j
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(borders: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, at in slices(batches):
         if len(raw) < 3:
             continue
+        names = batch.column(0).dictionary_encode()
+        code = names.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")  # rows of a table together
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         gram = (raw[:-2].astype(np.int64) << 16) | (raw[1:-1].astype(np.int64) << 8) | raw[2:]
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         inside = row[:-2] == row[2:]  # a run doesn't reach into the next text
-        key = np.unique((row[:-2][inside] << 24) | gram[inside])
-        row = pa.array(key >> 24)
-        yield pa.RecordBatch.from_arrays([pa.array((key & 0xFFFFFF).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], names=["gram", "table", "row_id"])
+        key = np.unique((gram[inside] << 32) | place[row[:-2][inside]])
+        if not len(key):
+            continue
+        gram, row = key >> 32, order[key & 0xFFFFFFFF]
+        first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (code[row[1:]] != code[row[:-1]]))))
+        ids = batch.column(1).take(pa.array(row))
+        some = gram[first].astype(np.int32)
+        part = np.searchsorted(borders, some, side="right").astype(np.int32)
+        cells = [part, some, names.dictionary.take(pa.array(code[row[first]])), pa.LargeListArray.from_arrays(pa.array(np.append(first, len(key))), ids).cast(pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in cells], names=["part", "gram", "table", "ids"])
+
+
+def _gram_parts(corpus: DataFrame, borders: list[bytes]) -> DataFrame:
+    """(part, gram, table, ids): the rows of a stretch of texts that hold a gram, together; part is the place of the gram among the borders."""
+    rows = corpus.where(F.octet_length("data") >= 3).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
+    places = np.array([int.from_bytes(b[:3].ljust(3, b"\0"), "big") for b in borders], np.int32)
+    return rows.mapInArrow(partial(_postings, places), "part int, gram int, table string, ids array<long>")
 
 
 def trigram_index(corpus: DataFrame) -> DataFrame:
     """(gram, table, row_id): the distinct runs of three bytes of each text, as numbers of 24 bits."""
-    rows = corpus.where(F.octet_length("data") >= 3).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
-    return rows.mapInArrow(_grams, "gram int, table string, row_id long")
+    return _gram_parts(corpus, []).select("gram", "table", F.explode("ids").alias("row_id"))
 
 
 def grams_of(literal: str) -> list[int]:
@@ -79,36 +99,69 @@ def trigram_like(corpus: DataFrame, index: DataFrame, pattern: str, underscore:
     return corpus.where(compiled.matches(F.col("data")))
 
 
-def _suffixes(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    letters = np.array([chr(i).encode() for i in range(256)], object)
-    wide = np.array([len(x) for x in letters], np.int64)
+def _suffixes(keep: int, borders: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wide = np.where(np.arange(256) < 128, 1, 2)
     for batch, raw, at in slices(batches):
-        n = np.diff(at)
-        row = np.repeat(np.arange(len(n)), n)
-        position = np.arange(len(raw)) - at[row]
-        # a byte becomes one character, of one or two bytes in UTF-8
-        text = raw.tobytes().decode("iso-8859-1").encode()
-        place = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(wide[raw], out=place[1:])
-        first, last = place[:-1], place[np.minimum(np.arange(len(raw)) + keep, at[row + 1])]
-        sizes = last - first
-        offsets = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(sizes, out=offsets[1:])
-        data = np.frombuffer(text, np.uint8)[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
-        suffix = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([suffix, batch.column(0).take(take), batch.column(1).take(take), pa.array(position.astype(np.int32))], names=["suffix", "table", "row_id", "position"])
+        for low in range(0, len(raw), _WINDOW):
+            place = np.arange(low, min(low + _WINDOW, len(raw)))
+            row = np.searchsorted(at, place, side="right") - 1
+            upto = np.minimum(place + keep, at[row + 1])
+            own = raw[low : int(upto.max())]
+            # a byte becomes one character, of one or two bytes in UTF-8
+            text = np.frombuffer(own.tobytes().decode("iso-8859-1").encode(), np.uint8)
+            begin = np.zeros(len(own) + 1, np.int64)
+            np.cumsum(wide[own], out=begin[1:])
+            first = begin[place - low]
+            sizes = begin[upto - low] - first
+            offsets = np.zeros(len(place) + 1, np.int64)
+            np.cumsum(sizes, out=offsets[1:])
+            data = text[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]
+            suffix = pa.Array.from_buffers(pa.string(), len(place), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            head = np.zeros(len(place), np.uint64)
+            padded = np.concatenate((own, np.zeros(8, np.uint8)))
+            for k in range(8):
+                head = (head << np.uint64(8)) | np.where(place + k < upto, padded[place - low + k], 0).astype(np.uint64)
+            part, take = np.searchsorted(borders, head, side="right").astype(np.int32), pa.array(row)
+            cells = [pa.array(part), suffix, batch.column(0).take(take), batch.column(1).take(take), pa.array((place - at[row]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cells, names=["part", "suffix", "table", "row_id", "position"])
+
+
+def _suffix_parts(corpus: DataFrame, borders: list[bytes], keep: int = SUFFIX_BYTES) -> DataFrame:
+    """(part, suffix, table, row_id, position): part is the place of a suffix' first 8 bytes among those of the borders."""
+    rows = corpus.where(F.octet_length("data") > 0).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
+    places = np.array([int.from_bytes(b[: min(8, keep)].ljust(8, b"\0"), "big") for b in borders], np.uint64)
+    return rows.mapInArrow(partial(_suffixes, keep, places), "part int, suffix string, table string, row_id long, position int")
 
 
 def suffix_index(corpus: DataFrame, keep: int = SUFFIX_BYTES) -> DataFrame:
     """(suffix, table, row_id, position): the first `keep` bytes of every suffix of each text, a character a byte; positions from 0."""
-    rows = corpus.where(F.octet_length("data") > 0).select("table", F.col("row_id").cast("long").alias("row_id"), "data")
-    return rows.mapInArrow(partial(_suffixes, keep), "suffix string, table string, row_id long, position int")
+    return _suffix_parts(corpus, [], keep).drop("part")
 
 
-def write_index(index: DataFrame, path: str, key: str) -> None:
-    """An index as Parquet, its keys in order over all files and within them."""
-    index.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.size", str(_ROW_GROUP)).mode("overwrite").parquet(path)
+def _borders(corpus: DataFrame, part: int) -> list[bytes]:
+    """Beginnings of suffixes that part those of a corpus in ranges of about the same size: at least one a core, unless it is small, and one for every `part` bytes.
+
+    They only tell what is sorted together. They are of every so many-th place, some 50,000 in all, sought without leaving the JVM, so that texts aren't indexed twice.
+    """
+    total = corpus.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    n = max(min(corpus.sparkSession.sparkContext.defaultParallelism, total >> 16), total // part) + 1
+    step = max(1, total // max(50_000, 50 * n))
+    start = (F.pmod(F.xxhash64("table", "row_id"), F.lit(step)) + 1).cast("int")
+    rows = corpus.select(F.encode("data", "utf-8").alias("b"), start.alias("s")).where(F.col("s") <= F.octet_length("b"))
+    places = F.transform(F.sequence("s", F.octet_length("b"), F.lit(step)), lambda i: F.substring("b", i, F.lit(8)))
+    seen = sorted(bytes(r[0]) for r in rows.select(F.explode(places)).collect()) if n > 1 else []
+    return sorted({seen[len(seen) * k // n] for k in range(1, n)}) if seen else []
+
+
+def write_index(corpus: DataFrame, kind: str, path: str) -> None:
+    """The trigram or suffix index of a corpus as Parquet, its keys in order over all files and within them."""
+    borders = _borders(corpus, _PART[kind])
+    key = "gram" if kind == "trigram" else "suffix"
+    rows = _gram_parts(corpus, borders) if kind == "trigram" else _suffix_parts(corpus, borders)
+    rows = rows.repartitionById(len(borders) + 1, "part").sortWithinPartitions(key).drop("part")
+    if kind == "trigram":
+        rows = rows.select("gram", "table", F.explode("ids").alias("row_id"))
+    rows.write.option("parquet.block.size", str(_ROW_GROUP)).mode("overwrite").parquet(path)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +177,7 @@ def persisted(corpus: DataFrame, kind: str, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{kind}-{hashlib.sha1(name.encode()).hexdigest()}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        write_index(trigram_index(corpus) if kind == "trigram" else suffix_index(corpus), path, "gram" if kind == "trigram" else "suffix")
+        write_index(corpus, kind, path)
     return open_index(spark, path)
 
 
@@ -166,10 +219,13 @@ def suffix_search_wildcard(index: DataFrame, pattern: str, corpus: DataFrame | N
 
 
 def selectivity(index: DataFrame, literals: list[str]) -> DataFrame:
-    """(literal, n, broad): the suffixes that begin with each literal, and whether they are too many to be worth probing. One scan for all."""
-    counts = [F.coalesce(F.sum(F.col("suffix").startswith(latin1(x)).cast("long")), F.lit(0)).alias(f"n{i}") for i, x in enumerate(literals)]
+    """(literal, n, broad): the suffixes that begin with each literal, and whether they are too many to be worth probing. One scan of the ranges of keys of all literals;
+    how many suffixes there are is told by the files' footers."""
+    begins = [_starts(F.col("suffix"), latin1(x)) for x in literals]
+    counts = [F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(f"n{i}") for i, x in enumerate(begins)]
     cells = F.array(*[F.struct(F.lit(x).alias("literal"), F.col(f"n{i}").alias("n")) for i, x in enumerate(literals)])
-    rows = index.agg(F.count("*").alias("total"), *counts).select("total", F.explode(cells).alias("c"))
+    rows = index.where(reduce(Column.__or__, begins)).agg(*counts).select(F.explode(cells).alias("c"))
+    rows = rows.crossJoin(F.broadcast(index.agg(F.count("*").alias("total"))))
     return rows.select("c.literal", "c.n", (F.col("c.n") > F.greatest(F.lit(BROAD), F.floor(F.col("total") * BROAD_SHARE))).alias("broad"))
 
 

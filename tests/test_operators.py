@@ -260,3 +260,30 @@ def test_clusters_read_features_that_are_written_once(spark):
     at = lambda df, c: {r.pattern_index: r.v for r in df.select("pattern_index", vector_to_array(c).alias("v")).collect()}
     got, expected = at(out, "embedding2"), at(two, "embedding")
     assert len(got) == 90 and all(np.allclose(np.abs(got[k]), np.abs(expected[k])) for k in got)
+
+
+def test_indexes_are_parted_by_borders_and_in_order(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdé \nZ🙂\0") for _ in range(rng.randint(0, 90))) for _ in range(3000)] + ["x" * 100_000 + "é" * 9, "ab", "", None]
+    df = spark.createDataFrame([(("a", "b")[i % 2], i, t) for i, t in enumerate(texts)], "table string, row_id long, data string").repartition(3)
+    raw = {i: (t or "").encode() for i, t in enumerate(texts)}
+    grams = sorted((int.from_bytes(g, "big"), ("a", "b")[i % 2], i) for i, b in raw.items() for g in {b[k : k + 3] for k in range(len(b) - 2)})
+    suffixes = sorted((b[k : k + 24].decode("latin1"), ("a", "b")[i % 2], i, k) for i, b in raw.items() for k in range(len(b)))
+    for kind, expected in (("trigram", grams), ("suffix", suffixes)):
+        got = index.persisted(df, kind, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == expected
+        key = got.columns[0]
+        ends = sorted(tuple(r) for r in got.groupBy(F.col("_metadata.file_path")).agg(F.min(key).alias("x"), F.max(key).alias("y")).select("x", "y").collect())
+        assert len(ends) >= 4 and all(y < x for (_, y), (x, _) in zip(ends, ends[1:]))
+        for f in [r[0] for r in got.select("_metadata.file_path").distinct().collect()]:
+            keys = [r[0] for r in spark.read.parquet(f).coalesce(1).select(key).collect()]
+            assert keys == sorted(keys)
+
+
+def test_suffixes_are_made_a_window_at_a_time():
+    import pyarrow as pa
+
+    text = "".join(random.Random(6).choice("abcé") for _ in range(1 << 20))
+    batch = pa.RecordBatch.from_arrays([pa.array(["t", "t"]), pa.array([1, 2]), pa.array([text, "end"])], names=["table", "row_id", "data"])
+    made = list(index._suffixes(24, np.array([], np.uint64), iter([batch])))
+    assert sum(map(len, made)) == len(text.encode()) + 3 and max(map(len, made)) <= index._WINDOW
