@@ -249,10 +249,12 @@ def embedded(rows: DataFrame, dimensions: int = 2, vector: str = "scaled", outpu
 
 
 def clustered(rows: DataFrame, k: int = 6, seed: int = 42, vector: str = "embedding", output: str = "cluster") -> DataFrame:
-    """rows with a cluster from 0, by k-means over a vector."""
+    """rows with a cluster from 0, by k-means over a vector. Scenarios are dealt out and sorted by their keys to be fitted, since the first centres depend on the order."""
     from pyspark.ml.clustering import KMeans
 
-    return KMeans(k=k, seed=seed, featuresCol=vector, predictionCol=output).fit(rows).transform(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = rows.select(*SCENARIO, vector).repartition(n, *SCENARIO).sortWithinPartitions(*SCENARIO) if set(SCENARIO) <= set(rows.columns) else rows
+    return KMeans(k=k, seed=seed, featuresCol=vector, predictionCol=output).fit(fitted).transform(rows)
 
 
 def scenario_clusters(features: DataFrame, algorithms: list[str], k: int = 6) -> DataFrame:
